@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,37 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from checks.duckdb_sql import ORACLES  # noqa: E402
 from oreline.plans import gold, profiling, quality, reports, silver  # noqa: E402
 from oreline.session import tune  # noqa: E402
-from oreline.sources.samples import EXTRACTS, sample_bronze  # noqa: E402
+from oreline.sources.samples import EXTRACTS  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+class _OnDemand(dict):
+    """Tables by name, planned when first read."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]) -> None:
+        super().__init__()
+        self.builders = builders
+
+    def __missing__(self, table: str) -> DataFrame:
+        self[table] = self.builders[table]()
+        return self[table]
+
+
 class Layers:
-    """The layers over one set of test tables, each table planned only when asked for."""
+    """The layers over one set of test tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         tune(spark)
-        self.bronze = sample_bronze(spark, sf_dir)
-        self.silver = silver.build_silver(self.bronze)
+        self.bronze = _OnDemand({t: partial(b, spark, sf_dir) for t, b in EXTRACTS.items()})
+        self.silver = _OnDemand(
+            {t: partial(self._cleanse, t, b) for t, b in silver.silver_builders().items()}
+        )
+
+    def _cleanse(self, table: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return build(self.bronze[table])
 
     def customers(self) -> DataFrame:
         return gold.dim_customers(self.silver)
@@ -83,7 +101,7 @@ def queries() -> dict[str, Query]:
     }
     builders = silver.silver_builders()
     return {
-        "bronze_counts": _layered(lambda x: quality.load_counts(x.bronze, x.bronze)),
+        
         **{q: _bronze_table(t, profiling.PROFILES[t]) for q, t in profiles.items()},
         **{q: _bronze_table(t, builders[t]) for q, t in cleansed.items()},
         "gold_dim_customers": _layered(Layers.customers),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +39,20 @@ def dense_key(
     )
     position = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
 
-    repeated = copies is not None and not placed.filter(F.col(copies) > 1).isEmpty()
-    size = F.sum(copies) if repeated else F.count(F.lit(1))
-    sizes = placed.groupBy(F.col("_part").alias("_p")).agg(size.alias("_rows"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_p", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    # One row per partition of the range shuffle, so this list is as short as the partition count.
+    stands_for = F.lit(1) if copies is None else F.col(copies)
+    sizes = (
+        placed.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(stands_for).alias("keys"))
+        .orderBy("_part")
+        .collect()
+    )
+    repeated = any(row["keys"] != row["n"] for row in sizes)
+    starts = accumulate((row["keys"] for row in sizes), initial=0)
+    offsets = df.sparkSession.createDataFrame(
+        [(row["_part"], start) for row, start in zip(sizes, starts, strict=False)],
+        "_p long, _offset long",
     )
-    # At most one row per partition of the range shuffle.
     numbered = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
 
     kept = [c for c in df.columns if c != copies]

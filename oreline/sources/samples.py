@@ -7,172 +7,116 @@ negative and wrong amounts, prefixed and hyphenated keys, and unmatched rows on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-FIRST_CUSTOMER = 11000
+_CUSTOMER_ID = "cast(11000 + c_custkey as string)"
+_PADDED_ID = f"lpad({_CUSTOMER_ID}, 8, '0')"
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def _pick(index: Column, values: list[str], default: str | Column | None = None) -> Column:
-    """``values[index]``, or ``default`` beyond the list."""
-    found = F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
-    if default is None:
-        return found
-    return F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
-
-
-def _customer_id() -> Column:
-    return (F.col("c_custkey") + FIRST_CUSTOMER).cast("string")
+# Columns in use; a declared schema saves the job that would read it from the files.
+_SCHEMAS = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long",
+    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_shipdate timestamp_ntz",
+}
 
 
-def _customer_key(prefix: str = "AW") -> Column:
-    return F.concat(F.lit(prefix), F.lpad(_customer_id(), 8, "0"))
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def crm_cust_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    month = 1 + (key + 3 * F.col("v")) % 12
-    events = (
-        _read(spark, sf_dir, "customer")
-        .withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
-        .filter((F.col("v") == 0) | (key % 5 == 0))
-    )
-    return events.select(
-        F.when(key % 97 == 96, "").otherwise(_customer_id()).alias("cst_id"),
-        _customer_key().alias("cst_key"),
-        F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")).alias("cst_firstname"),
-        F.concat("c_name", F.lit("  ")).alias("cst_lastname"),
-        _pick(key % 5, ["S", " m", "M ", "s", ""]).alias("cst_marital_status"),
-        _pick(key % 4, ["M", "f ", " F", ""]).alias("cst_gndr"),
-        F.concat_ws(
-            "-",
-            F.lit("2025"),
-            F.lpad(month.cast("string"), 2, "0"),
-            F.lpad((1 + key % 28).cast("string"), 2, "0"),
-        ).alias("cst_create_date"),
+    customers = _read(spark, sf_dir, "customer")
+    events = customers.selectExpr("*", "explode(array(0, 1)) as v")
+    return events.where("v = 0 or c_custkey % 5 = 0").selectExpr(
+        f"case when c_custkey % 97 = 96 then '' else {_CUSTOMER_ID} end as cst_id",
+        f"'AW' || {_PADDED_ID} as cst_key",
+        "'  ' || c_mktsegment || ' ' as cst_firstname",
+        "c_name || '  ' as cst_lastname",
+        "get(array('S', ' m', 'M ', 's', ''), cast(c_custkey % 5 as int)) as cst_marital_status",
+        "get(array('M', 'f ', ' F', ''), cast(c_custkey % 4 as int)) as cst_gndr",
+        "'2025-' || lpad(cast(1 + (c_custkey + 3 * v) % 12 as string), 2, '0') || '-'"
+        " || lpad(cast(1 + c_custkey % 28 as string), 2, '0') as cst_create_date",
     )
 
 
 def crm_prd_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, version = F.col("p_partkey"), F.col("v")
-    size = (F.col("p_size") % 10).cast("string")
-    versions = _read(spark, sf_dir, "part").withColumn(
-        "v", F.explode(F.sequence(F.lit(0), (key % 3).cast("int")))
-    )
-    return versions.select(
-        (key * 10 + version).cast("string").alias("prd_id"),
-        F.concat(
-            F.substring("p_type", 1, 2),
-            F.lit("-B"),
-            size,
-            F.lit("-P"),
-            F.lpad(key.cast("string"), 6, "0"),
-        ).alias("prd_key"),
-        F.col("p_name").alias("prd_nm"),
-        F.when(key % 11 == 0, "")
-        .otherwise(F.col("p_retailprice").cast("decimal(10,2)").cast("string"))
-        .alias("prd_cost"),
-        _pick(key % 6, ["R ", "m", "S", " T", "", "X"]).alias("prd_line"),
-        F.concat((2011 + version).cast("string"), F.lit("-07-01")).alias("prd_start_dt"),
-        F.when(version == 0, "")
-        .otherwise(F.concat((2010 + version).cast("string"), F.lit("-12-28")))
-        .alias("prd_end_dt"),
+    parts = _read(spark, sf_dir, "part")
+    versions = parts.selectExpr("*", "explode(sequence(0, cast(p_partkey % 3 as int))) as v")
+    return versions.selectExpr(
+        "cast(p_partkey * 10 + v as string) as prd_id",
+        "substr(p_type, 1, 2) || '-B' || cast(p_size % 10 as string) || '-P'"
+        " || lpad(cast(p_partkey as string), 6, '0') as prd_key",
+        "p_name as prd_nm",
+        "case when p_partkey % 11 = 0 then ''"
+        " else cast(cast(p_retailprice as decimal(10, 2)) as string) end as prd_cost",
+        "get(array('R ', 'm', 'S', ' T', '', 'X'), cast(p_partkey % 6 as int)) as prd_line",
+        "cast(2011 + v as string) || '-07-01' as prd_start_dt",
+        "case when v = 0 then '' else cast(2010 + v as string) || '-12-28' end as prd_end_dt",
     )
 
 
 def crm_sales_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order, part = F.col("l_orderkey"), F.col("l_partkey")
-    ship = F.to_date("l_shipdate")
-    lines = _read(spark, sf_dir, "lineitem").select(
+    lines = _read(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey",
         "l_partkey",
-        ship.alias("ship"),
-        F.col("l_quantity").cast("bigint").alias("q"),
-        F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("bigint").alias("p"),
-        ((order * 7 + F.col("l_linenumber")) % 20).alias("k"),
+        "cast(l_shipdate as date) as ship",
+        "cast(l_quantity as bigint) as q",
+        "cast(floor(l_extendedprice / l_quantity) as bigint) as p",
+        "(l_orderkey * 7 + l_linenumber) % 20 as k",
     )
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    q, p, k = F.col("q"), F.col("p"), F.col("k")
-
-    def compact(day: Column) -> Column:
-        return F.date_format(day, "yyyyMMdd")
-
-    ordered = F.when(order % 41 == 0, F.date_add("ship", 3)).otherwise(F.date_sub("ship", 7))
-    return lines.join(orders, order == F.col("o_orderkey")).select(
-        F.concat(F.lit("SO"), order.cast("string")).alias("sls_ord_num"),
-        F.concat(
-            F.when(part % 199 == 198, "PX").otherwise("P"), F.lpad(part.cast("string"), 6, "0")
-        ).alias("sls_prd_key"),
-        (F.col("o_custkey") + FIRST_CUSTOMER).cast("string").alias("sls_cust_id"),
-        F.when(order % 50 == 0, "0")
-        .when(order % 53 == 0, "5489")
-        .otherwise(compact(ordered))
-        .alias("sls_order_dt"),
-        compact(F.col("ship")).alias("sls_ship_dt"),
-        compact(F.date_add("ship", 5)).alias("sls_due_dt"),
-        F.when(k.isin(3, 6), "")
-        .when(k.isin(4, 7), (-q * p).cast("string"))
-        .when(k == 5, (q * p + 7).cast("string"))
-        .otherwise((q * p).cast("string"))
-        .alias("sls_sales"),
-        q.cast("string").alias("sls_quantity"),
-        F.when(k.isin(0, 6, 7), "")
-        .when(k == 1, "0")
-        .when(k == 2, (-p).cast("string"))
-        .otherwise(p.cast("string"))
-        .alias("sls_price"),
+    orders = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as l_orderkey", "o_custkey")
+    # Two large tables on any real scale: always a shuffled join, also while orders is still small.
+    return lines.join(orders.hint("merge"), "l_orderkey").selectExpr(
+        "'SO' || cast(l_orderkey as string) as sls_ord_num",
+        "if(l_partkey % 199 = 198, 'PX', 'P') || lpad(cast(l_partkey as string), 6, '0')"
+        " as sls_prd_key",
+        "cast(11000 + o_custkey as string) as sls_cust_id",
+        "case when l_orderkey % 50 = 0 then '0' when l_orderkey % 53 = 0 then '5489'"
+        " else replace(cast(date_add(ship, if(l_orderkey % 41 = 0, 3, -7)) as string), '-', '')"
+        " end as sls_order_dt",
+        "replace(cast(ship as string), '-', '') as sls_ship_dt",
+        "replace(cast(date_add(ship, 5) as string), '-', '') as sls_due_dt",
+        "case when k in (3, 6) then '' when k in (4, 7) then cast(-q * p as string)"
+        " else cast(q * p + if(k = 5, 7, 0) as string) end as sls_sales",
+        "cast(q as string) as sls_quantity",
+        "case when k in (0, 6, 7) then '' when k = 1 then '0'"
+        " else cast(if(k = 2, -p, p) as string) end as sls_price",
     )
 
 
 def erp_cust_az12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return (
-        _read(spark, sf_dir, "customer")
-        .filter(key % 13 != 12)
-        .select(
-            F.concat(F.when(key % 3 == 0, "NAS").otherwise(""), _customer_key()).alias("cid"),
-            F.when(key % 101 == 7, "2999-01-01")
-            .otherwise(
-                F.concat_ws(
-                    "-",
-                    (1950 + key % 50).cast("string"),
-                    F.lpad((1 + key % 12).cast("string"), 2, "0"),
-                    F.lit("15"),
-                )
-            )
-            .alias("bdate"),
-            _pick(key % 7, ["Male", "F", " female", "M", "", "X", "MALE "]).alias("gen"),
-        )
+    customers = _read(spark, sf_dir, "customer").where("c_custkey % 13 <> 12")
+    return customers.selectExpr(
+        f"if(c_custkey % 3 = 0, 'NAS', '') || 'AW' || {_PADDED_ID} as cid",
+        "case when c_custkey % 101 = 7 then '2999-01-01'"
+        " else cast(1950 + c_custkey % 50 as string) || '-'"
+        " || lpad(cast(1 + c_custkey % 12 as string), 2, '0') || '-15' end as bdate",
+        "get(array('Male', 'F', ' female', 'M', '', 'X', 'MALE '), cast(c_custkey % 7 as int))"
+        " as gen",
     )
 
 
 def erp_loc_a101(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = _read(spark, sf_dir, "customer").filter(F.col("c_custkey") % 17 != 16)
-    nations = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    named = F.concat(F.lit(" "), F.col("n_name"))
-    return customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        _customer_key("AW-").alias("cid"),
-        _pick(F.col("c_nationkey") % 6, ["US", " usa ", "DE", "  "], named).alias("cntry"),
+    customers = _read(spark, sf_dir, "customer").where("c_custkey % 17 <> 16")
+    nations = _read(spark, sf_dir, "nation").selectExpr("n_nationkey as c_nationkey", "n_name")
+    return customers.join(nations, "c_nationkey").selectExpr(
+        f"'AW-' || {_PADDED_ID} as cid",
+        "coalesce(get(array('US', ' usa ', 'DE', '  '), c_nationkey % 6), ' ' || n_name) as cntry",
     )
 
 
 def erp_px_cat_g1v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = (F.col("p_size") % 10).cast("string")
-    return (
-        _read(spark, sf_dir, "part")
-        .filter(~((F.col("p_type") == "PROMO") & (F.col("p_size") % 10 == 9)))
-        .select(
-            F.concat(F.substring("p_type", 1, 2), F.lit("_B"), size).alias("id"),
-            F.concat(F.lit(" "), "p_type").alias("cat"),
-            F.concat(F.lit("Sub"), size, F.lit(" ")).alias("subcat"),
-            F.when(F.col("p_size") % 2 == 0, "Yes").otherwise(" No").alias("maintenance"),
-        )
-        .distinct()
-    )
+    parts = _read(spark, sf_dir, "part").where("not (p_type = 'PROMO' and p_size % 10 = 9)")
+    return parts.selectExpr(
+        "substr(p_type, 1, 2) || '_B' || cast(p_size % 10 as string) as id",
+        "' ' || p_type as cat",
+        "'Sub' || cast(p_size % 10 as string) || ' ' as subcat",
+        "if(p_size % 2 = 0, 'Yes', ' No') as maintenance",
+    ).distinct()
 
 
 EXTRACTS = {
