@@ -10,6 +10,14 @@ from oreline.operators import conform, copies, counts, keys, latest, lookup, rep
 from oreline.schemas import GOLD_CONTRACT
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Small inputs, but every shuffle keeps all its partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def _plan(df, mode="simple"):
     return df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode)
@@ -131,7 +139,7 @@ def _ends_one_by_one(rows):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_versions_against_one_by_one(spark, seed):
+def test_versions_against_one_by_one(spark, many_partitions, seed):
     """Ties, missing starts and whole copies, with one key holding a third of the rows."""
     pick = random.Random(seed)
     starts = [None, *[date(2020, 1, 1) + timedelta(days=30 * i) for i in range(5)]]
@@ -161,12 +169,8 @@ def test_open_version_is_unique_and_intervals_do_not_overlap(spark, sf_dir):
 # --- dense keys --------------------------------------------------------------------------------
 
 
-def _expected_keys(rows):
-    return sorted(rows, key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))
-
-
 @pytest.mark.parametrize("seed", range(3))
-def test_dense_keys_against_a_sort(spark, seed):
+def test_dense_keys_against_a_sort(spark, many_partitions, seed):
     pick = random.Random(seed)
     days = [None, *[date(2024, 1, 1) + timedelta(days=i) for i in range(4)]]
     rows = list({
@@ -181,7 +185,7 @@ def test_dense_keys_against_a_sort(spark, seed):
     ]
 
 
-def test_dense_keys_of_counted_rows(spark):
+def test_dense_keys_of_counted_rows(spark, many_partitions):
     rows = [("b", 2, 3), ("a", 1, 1), ("c", 9, 25_000), ("d", 4, 2), ("b", 1, 1)]
     df = spark.createDataFrame(rows, "p string, i int, n long").repartition(4)
     got = keys.dense_key(df, "key", ["p"], copies="n")
@@ -209,7 +213,7 @@ def test_dense_keys_do_not_gather_the_table(spark):
     assert "SinglePartition" not in plan and "Window" not in plan
 
 
-def test_keys_do_not_depend_on_input_order(spark):
+def test_keys_do_not_depend_on_input_order(spark, many_partitions):
     df = spark.range(2000).select(
         (F.col("id") % 50).cast("string").alias("p"), F.col("id").alias("i")
     )
