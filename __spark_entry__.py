@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,16 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.duckdb_sql import ORACLES  # noqa: E402
-from oreline.plans import gold, profiling, quality, reports, silver  # noqa: E402
-from oreline.session import tune  # noqa: E402
+from oreline.functions import codes, parsing, text  # noqa: E402
+from oreline.operators.keys import dense_key  # noqa: E402
+from oreline.operators.latest import latest_per_key  # noqa: E402
+from oreline.operators.lookup import orphan_rows  # noqa: E402
+from oreline.plans import gold, profiling, quality, reports, silver, views  # noqa: E402
+from oreline.schemas import SOURCES  # noqa: E402
+from oreline.session import require_checkpoint_dir, tune  # noqa: E402
+from oreline.sources.csv import read_csv, write_csv  # noqa: E402
 from oreline.sources.samples import EXTRACTS  # noqa: E402
+from oreline.sources.tables import Warehouse, stamped  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -56,13 +65,20 @@ class Layers:
     def sales(self) -> DataFrame:
         return self.silver["crm_sales_details"]
 
-    def fact(self, customers: DataFrame | None = None) -> DataFrame:
-        return gold.fact_sales(self.sales(), self.products(), customers or self.customers())
+    def dimensions(self) -> tuple[DataFrame, DataFrame]:
+        """Products and customers, whose keys are assigned at the same time."""
+        with ThreadPoolExecutor(2) as pool:
+            products, customers = pool.submit(self.products), pool.submit(self.customers)
+            return products.result(), customers.result()
+
+    def fact(self) -> DataFrame:
+        return gold.fact_sales(self.sales(), *self.dimensions())
 
 
 def _sales_by_country(layers: Layers) -> DataFrame:
-    customers = layers.customers()
-    return reports.sales_by_country(layers.fact(customers), customers)
+    products, customers = layers.dimensions()
+    fact = gold.fact_sales(layers.sales(), products, customers)
+    return reports.sales_by_country(fact, customers)
 
 
 def _bronze_table(table: str, profile: Callable[[DataFrame], DataFrame]) -> Query:
@@ -73,6 +89,93 @@ def _layered(build: Callable[[Layers], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(Layers(spark, sf_dir))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, which every executor can reach."""
+    return f"{require_checkpoint_dir(spark)}/oreline-{uuid.uuid4().hex}"
+
+
+def _landed(table: str) -> Query:
+    """The extract written as CSV and read back, untyped."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{_shared_folder(spark)}/{table}.csv"
+        extract = EXTRACTS[table](spark, sf_dir)
+        write_csv(extract, path)
+        return read_csv(spark, path, extract.columns)
+
+    return query
+
+
+def _bronze_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the landed CSV files against rows of the Bronze tables loaded from them."""
+    folder = _shared_folder(spark)
+    warehouse = Warehouse(spark, f"{folder}/tables")
+    warehouse.create_layers()
+    landed = {}
+    for source in SOURCES:
+        path = f"{folder}/{source.file}"
+        write_csv(EXTRACTS[source.table](spark, sf_dir), path)
+        landed[source.table] = read_csv(spark, path, source.columns)
+        warehouse.load(landed[source.table], "bronze", source.table)
+    return quality.load_counts(landed, warehouse.bronze_tables())
+
+
+def _live(table: str, inputs: tuple[str, ...]) -> Query:
+    """A Gold view over Silver tables loaded from the extracts."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        layers = Layers(spark, sf_dir)
+        warehouse = Warehouse(spark, f"{_shared_folder(spark)}/tables")
+        warehouse.create_layers()
+        for name in inputs:
+            warehouse.load(stamped(layers.silver[name]), "silver", name)
+        views.create_gold_views(warehouse, only=(table,))
+        return warehouse.read("gold", table)
+
+    return query
+
+
+def _parsed_sales(bronze: DataFrame) -> DataFrame:
+    """Order lines with typed dates and numbers, before any repair."""
+    dates = ("sls_order_dt", "sls_ship_dt", "sls_due_dt")
+    numbers = ("sls_sales", "sls_quantity", "sls_price")
+    return bronze.select(
+        "sls_ord_num",
+        *[parsing.parse_compact_date(F.col(c)).alias(c) for c in dates],
+        *[parsing.parse_number(F.col(c)).alias(c) for c in numbers],
+    )
+
+
+def _latest_customers(bronze: DataFrame) -> DataFrame:
+    ties = [c for c in bronze.columns if c != "cst_id"]
+    recency = parsing.parse_moment(F.col("cst_create_date"))
+    identified = bronze.filter(~text.is_blank(F.col("cst_id")))
+    return latest_per_key(identified, "cst_id", recency, ties).select(
+        "cst_id", "cst_key", "cst_create_date"
+    )
+
+
+def _split_keys(bronze: DataFrame) -> DataFrame:
+    category, number = silver.split_product_key(F.col("prd_key"))
+    return bronze.select("prd_id", category.alias("cat_id"), number.alias("prd_key"))
+
+
+def _line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense keys over all order lines, by customer and order."""
+    lines = EXTRACTS["crm_sales_details"](spark, sf_dir).select(
+        "sls_cust_id", "sls_ord_num", "sls_prd_key", "sls_quantity", "sls_sales"
+    )
+    return dense_key(lines, "line_key", ["sls_cust_id", "sls_ord_num"])
+
+
+def _known_gender(layers: Layers) -> DataFrame:
+    """Gender of each customer with a demographic record, CRM before ERP."""
+    customers, people = layers.silver["crm_cust_info"], layers.silver["erp_cust_az12"]
+    return customers.join(people, F.col("cst_key") == F.col("cid"), "left").select(
+        "cst_id", codes.prefer_known(F.col("cst_gndr"), F.col("gen")).alias("gender")
+    )
+
+
 def _first_rows(df: DataFrame) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]).limit(10)
 
@@ -100,10 +203,18 @@ def queries() -> dict[str, Query]:
         "silver_erp_cat": "erp_px_cat_g1v2",
     }
     builders = silver.silver_builders()
+    short = {table: name.removeprefix("silver_") for name, table in cleansed.items()}
     return {
+        "bronze_counts": _bronze_counts,
+        **{f"bronze_{short[t]}": _landed(t) for t in cleansed.values()},
         
         **{q: _bronze_table(t, profiling.PROFILES[t]) for q, t in profiles.items()},
         **{q: _bronze_table(t, builders[t]) for q, t in cleansed.items()},
+        "parsed_sales": _bronze_table("crm_sales_details", _parsed_sales),
+        "split_product_keys": _bronze_table("crm_prd_info", _split_keys),
+        "latest_customers": _bronze_table("crm_cust_info", _latest_customers),
+        "known_gender": _layered(_known_gender),
+        "dense_line_keys": _line_keys,
         "gold_dim_customers": _layered(Layers.customers),
         "gold_dim_products": _layered(Layers.products),
         "gold_fact_sales": _layered(Layers.fact),
@@ -120,10 +231,21 @@ def queries() -> dict[str, Query]:
         "dq_orphan_products": _layered(
             lambda x: quality.orphan_products(x.sales(), x.silver["crm_prd_info"])
         ),
+        "orphan_customer_rows": _layered(
+            lambda x: orphan_rows(x.sales(), "sls_cust_id", x.silver["crm_cust_info"], "cst_id")
+        ),
+        "orphan_product_rows": _layered(
+            lambda x: orphan_rows(x.sales(), "sls_prd_key", x.silver["crm_prd_info"], "prd_key")
+        ),
         "dq_row_reconcile": _layered(lambda x: quality.row_reconcile(x.sales(), x.fact())),
         "dq_missing_keys": _layered(lambda x: quality.missing_keys(x.fact())),
         "dq_report": _layered(lambda x: quality.quality_report(x.silver, x.fact())),
         "sales_by_country": _layered(_sales_by_country),
+        "profile_report": _layered(lambda x: profiling.profile_all(x.bronze)),
+        "live_dim_customers": _live(
+            "dim_customers", ("crm_cust_info", "erp_cust_az12", "erp_loc_a101")
+        ),
+        "live_dim_products": _live("dim_products", ("crm_prd_info", "erp_px_cat_g1v2")),
         "preview_dim_customers": _layered(
             lambda x: x.customers().orderBy("customer_key").limit(10)
         ),

@@ -267,26 +267,38 @@ MISSING_KEYS = _rule(
 )
 
 
-def _section(layer: str, table: str, rules: str) -> str:
-    return (
-        f"select '{layer}' as layer, '{table}' as \"table\", rule, violations, checked, "
-        "case when rule = 'duplicate_prd_key' then 'info' when violations = 0 then 'ok' "
-        f"else 'failed' end as status from ({rules}) r"
-    )
+_PLACES = {
+    "duplicate_cst_id": ("silver", "crm_cust_info"),
+    "duplicate_prd_key": ("silver", "crm_prd_info"),
+    "several_current_versions": ("silver", "crm_prd_info"),
+    "unapproved_value": ("silver", "all coded columns"),
+    "fact_rows_differ": ("gold", "fact_sales"),
+    "missing_surrogate_key": ("gold", "fact_sales"),
+}
+
 
+def _place(part: int, otherwise: str) -> str:
+    cases = " ".join(f"when '{rule}' then '{p[part]}'" for rule, p in _PLACES.items())
+    return f"case rule {cases} else '{otherwise}' end"
 
-QUALITY_REPORT = "\nunion all ".join(
+
+_ALL_RULES = "\nunion all ".join(
     [
-        _section("silver", "crm_cust_info, crm_prd_info", UNIQUE_KEYS),
-        _section("silver", "crm_cust_info, crm_prd_info", UNAPPROVED),
-        _section("silver", "crm_sales_details", DATE_ORDER),
-        _section("silver", "crm_sales_details", SALES_AMOUNT),
-        _section("silver", "crm_sales_details", ORPHAN_CUSTOMERS),
-        _section("silver", "crm_sales_details", ORPHAN_PRODUCTS),
-        _section("gold", "fact_sales", RECONCILE),
-        _section("gold", "fact_sales", MISSING_KEYS),
+        UNIQUE_KEYS,
+        UNAPPROVED,
+        DATE_ORDER,
+        SALES_AMOUNT,
+        ORPHAN_CUSTOMERS,
+        ORPHAN_PRODUCTS,
+        RECONCILE,
+        MISSING_KEYS,
     ]
 )
+QUALITY_REPORT = (
+    f"select {_place(0, 'silver')} as layer, {_place(1, 'crm_sales_details')} as \"table\", "
+    "rule, violations, checked, case when rule = 'duplicate_prd_key' then 'info' "
+    f"when violations = 0 then 'ok' else 'failed' end as status from ({_ALL_RULES}) r"
+)
 BRONZE_COUNTS = "\nunion all ".join(
     f"select '{name}' as \"table\", count(*) as source_rows, count(*) as loaded_rows, "
     f"cast(0 as bigint) as difference from b_{name}"
@@ -298,77 +310,127 @@ from g_fact_sales f join g_dim_customers c on f.customer_key = c.customer_key
 where country is not null group by country
 """
 
-ORACLES: dict[str, str] = {
-    "bronze_counts": with_inputs(BRONZE_COUNTS),
-    "profile_crm_cust": with_inputs(
-        _metrics(
-            "b_crm_cust_info",
-            {
-                "duplicate_cst_id": "count(*) - count(distinct cst_id)",
-                "blank_cst_id": _count_where("cst_id = ''"),
-            },
-        )
-        + "\nunion all "
-        + _values("b_crm_cust_info", "cst_gndr")
-        + "\nunion all "
-        + _values("b_crm_cust_info", "cst_marital_status")
-    ),
-    "profile_crm_prd": with_inputs(
-        _metrics(
-            "b_crm_prd_info",
-            {"missing_cost": _count_where("try_cast(nullif(prd_cost, '') as double) is null")},
-        )
-        + "\nunion all (select 'key_prefix' as metric, substr(prd_key, 1, 5) as value, "
-        "count(*) as n from b_crm_prd_info group by substr(prd_key, 1, 5) order by value limit 5)"
-        + "\nunion all "
-        + _values("b_crm_prd_info", "prd_line")
-    ),
-    "profile_crm_sales": with_inputs(
-        _metrics(
-            _NUMBERS,
-            {
-                "zero_order_date": _count_where("sls_order_dt = '0'"),
-                "unreadable_order_date": _count_where(
-                    "length(sls_order_dt) <> 8 or try_strptime(sls_order_dt, '%Y%m%d') is null"
-                ),
-                "amount_mismatch": _count_where("coalesce(s <> q * p, true)"),
-                "bad_price": _count_where("p is null or p <= 0"),
-            },
-        )
+_PROFILES = {
+    "crm_cust_info": _metrics(
+        "b_crm_cust_info",
+        {
+            "duplicate_cst_id": "count(*) - count(distinct cst_id)",
+            "blank_cst_id": _count_where("cst_id = ''"),
+        },
+    )
+    + "\nunion all "
+    + _values("b_crm_cust_info", "cst_gndr")
+    + "\nunion all "
+    + _values("b_crm_cust_info", "cst_marital_status"),
+    "crm_prd_info": _metrics(
+        "b_crm_prd_info",
+        {"missing_cost": _count_where("try_cast(nullif(prd_cost, '') as double) is null")},
+    )
+    + "\nunion all (select 'key_prefix' as metric, substr(prd_key, 1, 5) as value, "
+    "count(*) as n from b_crm_prd_info group by substr(prd_key, 1, 5) order by value limit 5)"
+    + "\nunion all "
+    + _values("b_crm_prd_info", "prd_line"),
+    "crm_sales_details": _metrics(
+        _NUMBERS,
+        {
+            "zero_order_date": _count_where("sls_order_dt = '0'"),
+            "unreadable_order_date": _count_where(
+                "length(sls_order_dt) <> 8 or try_strptime(sls_order_dt, '%Y%m%d') is null"
+            ),
+            "amount_mismatch": _count_where("coalesce(s <> q * p, true)"),
+            "bad_price": _count_where("p is null or p <= 0"),
+        },
     ),
-    "profile_erp_cust": with_inputs(
-        _metrics(
-            "b_erp_cust_az12",
-            {
-                "nas_prefix": _count_where("starts_with(cid, 'NAS')"),
-                "future_bdate": _count_where("try_cast(bdate as date) > date '2026-01-01'"),
+    "erp_cust_az12": _metrics(
+        "b_erp_cust_az12",
+        {
+            "nas_prefix": _count_where("starts_with(cid, 'NAS')"),
+            "future_bdate": _count_where("try_cast(bdate as date) > date '2026-01-01'"),
+        },
+    )
+    + "\nunion all "
+    + _values("b_erp_cust_az12", "gen"),
+    "erp_loc_a101": _values("b_erp_loc_a101", "cntry"),
+    "erp_px_cat_g1v2": _metrics(
+        "b_erp_px_cat_g1v2",
+        {
+            **{
+                f"null_{c}": _count_where(f"{c} is null")
+                for c in ("id", "cat", "subcat", "maintenance")
             },
-        )
-        + "\nunion all "
-        + _values("b_erp_cust_az12", "gen")
-    ),
-    "profile_erp_loc": with_inputs(_values("b_erp_loc_a101", "cntry")),
-    "profile_erp_cat": with_inputs(
-        _metrics(
-            "b_erp_px_cat_g1v2",
-            {
-                **{
-                    f"null_{c}": _count_where(f"{c} is null")
-                    for c in ("id", "cat", "subcat", "maintenance")
-                },
-                **{
-                    f"blank_{c}": _count_where(f"{c} = ''")
-                    for c in ("id", "cat", "subcat", "maintenance")
-                },
+            **{
+                f"blank_{c}": _count_where(f"{c} = ''")
+                for c in ("id", "cat", "subcat", "maintenance")
             },
-        )
+        },
     ),
+}
+PROFILE_REPORT = "\nunion all ".join(
+    f"select '{table}' as \"table\", metric, value, n from ({sql}) p{i}"
+    for i, (table, sql) in enumerate(_PROFILES.items())
+)
+ORDER_KEYS = """
+select cast(row_number() over (order by sls_cust_id, sls_ord_num, sls_prd_key, sls_quantity,
+ sls_sales) as bigint) as line_key, sls_cust_id, sls_ord_num, sls_prd_key, sls_quantity, sls_sales
+from b_crm_sales_details
+"""
+PARSED_SALES = """
+select sls_ord_num,
+ case when length(sls_order_dt) = 8 then cast(try_strptime(sls_order_dt, '%Y%m%d') as date) end
+  as sls_order_dt,
+ case when length(sls_ship_dt) = 8 then cast(try_strptime(sls_ship_dt, '%Y%m%d') as date) end
+  as sls_ship_dt,
+ case when length(sls_due_dt) = 8 then cast(try_strptime(sls_due_dt, '%Y%m%d') as date) end
+  as sls_due_dt,
+ try_cast(nullif(sls_sales, '') as double) as sls_sales,
+ try_cast(nullif(sls_quantity, '') as double) as sls_quantity,
+ try_cast(nullif(sls_price, '') as double) as sls_price
+from b_crm_sales_details
+"""
+
+ORACLES: dict[str, str] = {
+    "bronze_counts": with_inputs(BRONZE_COUNTS),
+    "bronze_crm_cust": EXTRACTS["crm_cust_info"],
+    "bronze_crm_prd": EXTRACTS["crm_prd_info"],
+    "bronze_crm_sales": EXTRACTS["crm_sales_details"],
+    "bronze_erp_cust": EXTRACTS["erp_cust_az12"],
+    "bronze_erp_loc": EXTRACTS["erp_loc_a101"],
+    "bronze_erp_cat": EXTRACTS["erp_px_cat_g1v2"],
+    "profile_crm_cust": with_inputs(_PROFILES["crm_cust_info"]),
+    "profile_crm_prd": with_inputs(_PROFILES["crm_prd_info"]),
+    "profile_crm_sales": with_inputs(_PROFILES["crm_sales_details"]),
+    "profile_erp_cust": with_inputs(_PROFILES["erp_cust_az12"]),
+    "profile_erp_loc": with_inputs(_PROFILES["erp_loc_a101"]),
+    "profile_erp_cat": with_inputs(_PROFILES["erp_px_cat_g1v2"]),
+    "profile_report": with_inputs(PROFILE_REPORT),
     "silver_crm_cust": _select_all("s_crm_cust_info"),
     "silver_crm_prd": _select_all("s_crm_prd_info"),
     "silver_crm_sales": _select_all("s_crm_sales_details"),
     "silver_erp_cust": _select_all("s_erp_cust_az12"),
     "silver_erp_loc": _select_all("s_erp_loc_a101"),
     "silver_erp_cat": _select_all("s_erp_px_cat_g1v2"),
+    "parsed_sales": with_inputs(PARSED_SALES),
+    "split_product_keys": with_inputs(
+        "select prd_id, replace(substr(prd_key, 1, 5), '-', '_') as cat_id, "
+        "substr(prd_key, 7) as prd_key from b_crm_prd_info"
+    ),
+    "latest_customers": with_inputs(
+        "select cst_id, max_by(cst_key, cst_create_date) as cst_key, "
+        "max(cst_create_date) as cst_create_date from b_crm_cust_info where cst_id <> '' "
+        "group by cst_id"
+    ),
+    "known_gender": with_inputs("select customer_id as cst_id, gender from g_dim_customers"),
+    "dense_line_keys": with_inputs(ORDER_KEYS),
+    "orphan_customer_rows": with_inputs(
+        "select * from s_crm_sales_details where sls_cust_id not in "
+        "(select cst_id from s_crm_cust_info)"
+    ),
+    "orphan_product_rows": with_inputs(
+        "select * from s_crm_sales_details where sls_prd_key not in "
+        "(select prd_key from s_crm_prd_info)"
+    ),
+    "live_dim_customers": _select_all("g_dim_customers"),
+    "live_dim_products": _select_all("g_dim_products"),
     "gold_dim_customers": _select_all("g_dim_customers"),
     "gold_dim_products": _select_all("g_dim_products"),
     "gold_fact_sales": _select_all("g_fact_sales"),

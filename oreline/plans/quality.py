@@ -21,20 +21,29 @@ class RowCountMismatch(AssertionError):
     """The fact table does not have one row per order line."""
 
 
-def _rules(df: DataFrame, rules: dict[str, Column], checked: Column) -> DataFrame:
-    """Several counts over one pass of ``df`` as rule rows."""
+def _rules(df: DataFrame, rules: dict[str, Column], *checked: Column) -> DataFrame:
+    """Several counts over one pass of ``df`` as rule rows.
+
+    ``checked`` counts what was looked at: once for all rules, or one for each.
+    """
+    seen = checked if len(checked) == len(rules) else checked * len(rules)
+    counted = dict(zip(rules, seen, strict=True))
+
+    def count(metric: Column) -> Column:
+        return F.coalesce(metric, F.lit(0)).cast("long")
+
     one = df.agg(
-        *[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in rules.items()],
-        F.coalesce(checked, F.lit(0)).cast("long").alias("_checked"),
+        *[count(violations).alias(rule) for rule, violations in rules.items()],
+        *[count(metric).alias(f"{rule}_checked") for rule, metric in counted.items()],
     )
     rows = F.array(
         *[
             F.struct(
-                F.lit(k).alias("rule"),
-                F.col(k).alias("violations"),
-                F.col("_checked").alias("checked"),
+                F.lit(rule).alias("rule"),
+                F.col(rule).alias("violations"),
+                F.col(f"{rule}_checked").alias("checked"),
             )
-            for k in rules
+            for rule in rules
         ]
     )
     return one.select(F.inline(rows))
@@ -138,14 +147,34 @@ def orphan_products(sales: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def row_reconcile(sales: DataFrame, fact: DataFrame) -> DataFrame:
-    """Order lines against fact rows; ``violations`` is the difference."""
-    sides = sales.select(F.lit(1).alias("line"), F.lit(0).alias("fact")).unionByName(
-        fact.select(F.lit(0).alias("line"), F.lit(1).alias("fact"))
+def _lines_and_facts(sales: DataFrame, fact: DataFrame) -> DataFrame:
+    """Both tables in one, a row each, with what the rules look at; ``line`` and ``fact`` are 1 or 0."""
+    missing = F.col("customer_key").isNull() | F.col("product_key").isNull()
+    lines = sales.select(
+        F.lit(1).alias("line"),
+        F.lit(0).alias("fact"),
+        F.lit(False).alias("missing_key"),
+        _date_order().alias("date_order"),
+        _amount_mismatch().alias("amount_mismatch"),
+        _bad_amount().alias("bad_amount"),
     )
-    return _rules(
-        sides, {"fact_rows_differ": F.abs(F.sum("line") - F.sum("fact"))}, F.sum("line")
+    facts = fact.select(
+        F.lit(0).alias("line"),
+        F.lit(1).alias("fact"),
+        missing.alias("missing_key"),
+        *[F.lit(False).alias(c) for c in ("date_order", "amount_mismatch", "bad_amount")],
     )
+    return lines.unionByName(facts)
+
+
+def _row_difference() -> Column:
+    return F.abs(F.sum("line") - F.sum("fact"))
+
+
+def row_reconcile(sales: DataFrame, fact: DataFrame) -> DataFrame:
+    """Order lines against fact rows; ``violations`` is the difference."""
+    sides = _lines_and_facts(sales, fact)
+    return _rules(sides, {"fact_rows_differ": _row_difference()}, F.sum("line"))
 
 
 def require_row_per_line(sales: DataFrame, fact: DataFrame) -> None:
@@ -180,42 +209,62 @@ def load_counts(sources: dict[str, DataFrame], loaded: dict[str, DataFrame]) ->
     return rows.withColumn("difference", F.col("loaded_rows") - F.col("source_rows"))
 
 
+# Where each rule looks.
+RULE_PLACES = {
+    "duplicate_cst_id": ("silver", "crm_cust_info"),
+    "duplicate_prd_key": ("silver", "crm_prd_info"),
+    "several_current_versions": ("silver", "crm_prd_info"),
+    "unapproved_value": ("silver", "all coded columns"),
+    "order_after_ship_or_due": ("silver", "crm_sales_details"),
+    "amount_mismatch": ("silver", "crm_sales_details"),
+    "bad_amount_or_factor": ("silver", "crm_sales_details"),
+    "orphan_customer": ("silver", "crm_sales_details"),
+    "orphan_product": ("silver", "crm_sales_details"),
+    "fact_rows_differ": ("gold", "fact_sales"),
+    "missing_surrogate_key": ("gold", "fact_sales"),
+}
 # Rules that describe the data instead of failing it.
 INFORMATION = ("duplicate_prd_key",)
 
 
 def quality_report(silver: dict[str, DataFrame], fact: DataFrame) -> DataFrame:
     """All Silver and Gold rules: (``layer``, ``table``, ``rule``, ``violations``, ``checked``,
-    ``status``)."""
+    ``status``). The order lines and the fact rows are read once for all rules on single rows."""
     customers, products = silver["crm_cust_info"], silver["crm_prd_info"]
     sales = silver["crm_sales_details"]
-    order_lines = _rules(
-        sales,
+    lines, facts = F.sum("line"), F.sum("fact")
+    loads = _rules(
+        _lines_and_facts(sales, fact),
         {
-            "order_after_ship_or_due": count_if(_date_order()),
-            "amount_mismatch": count_if(_amount_mismatch()),
-            "bad_amount_or_factor": count_if(_bad_amount()),
+            "order_after_ship_or_due": count_if(F.col("date_order")),
+            "amount_mismatch": count_if(F.col("amount_mismatch")),
+            "bad_amount_or_factor": count_if(F.col("bad_amount")),
+            "fact_rows_differ": _row_difference(),
+            "missing_surrogate_key": count_if(F.col("missing_key")),
         },
-        _all_rows(),
+        *(lines, lines, lines, lines, facts),
     )
     sections = [
-        ("silver", "crm_cust_info, crm_prd_info", unique_keys(customers, products)),
-        ("silver", "crm_cust_info, crm_prd_info", unapproved_values(silver)),
-        ("silver", "crm_sales_details", order_lines),
-        ("silver", "crm_sales_details", orphan_customers(sales, customers)),
-        ("silver", "crm_sales_details", orphan_products(sales, products)),
-        ("gold", "fact_sales", row_reconcile(sales, fact)),
-        ("gold", "fact_sales", missing_keys(fact)),
-    ]
-    parts = [
-        rules.select(
-            F.lit(layer).alias("layer"), F.lit(table).alias("table"), "rule", "violations", "checked"
-        )
-        for layer, table, rules in sections
+        unique_keys(customers, products),
+        unapproved_values(silver),
+        orphan_customers(sales, customers),
+        orphan_products(sales, products),
+        loads,
     ]
+    places = F.create_map(
+        *[F.lit(x) for rule, (layer, table) in RULE_PLACES.items() for x in (rule, f"{layer}.{table}")]
+    )
+    place = F.split(places[F.col("rule")], "\\.")
     status = (
         F.when(F.col("rule").isin(*INFORMATION), "info")
         .when(F.col("violations") == 0, "ok")
         .otherwise("failed")
     )
-    return reduce(DataFrame.unionByName, parts).withColumn("status", status)
+    return reduce(DataFrame.unionByName, sections).select(
+        place[0].alias("layer"),
+        place[1].alias("table"),
+        "rule",
+        "violations",
+        "checked",
+        status.alias("status"),
+    )

@@ -112,17 +112,23 @@ def _sales_sql() -> str:
     return f"SELECT {_typed('fact_sales', '')} FROM ({rows})"
 
 
-def create_gold_views(warehouse: Warehouse, bucket_rows: int = BUCKET_ROWS) -> None:
-    """Define the three Gold objects as views over Silver, in place of loaded tables."""
-    customers = warehouse.read("silver", "crm_cust_info")
-    products = warehouse.read("silver", "crm_prd_info").filter(F.col("prd_end_dt").isNull())
-    statements = {
-        "dim_customers": _customers_sql(prefix_length(customers, "cst_id", [], bucket_rows)),
-        "dim_products": _products_sql(
-            prefix_length(products, "prd_key", ["prd_start_dt"], bucket_rows)
-        ),
-        "fact_sales": _sales_sql(),
-    }
-    for table, sql in statements.items():
+def create_gold_views(
+    warehouse: Warehouse,
+    bucket_rows: int = BUCKET_ROWS,
+    only: tuple[str, ...] = ("dim_customers", "dim_products", "fact_sales"),
+) -> None:
+    """Define the Gold objects as views over Silver, in place of loaded tables."""
+
+    def customers() -> str:
+        rows = warehouse.read("silver", "crm_cust_info")
+        return _customers_sql(prefix_length(rows, "cst_id", [], bucket_rows))
+
+    def products() -> str:
+        rows = warehouse.read("silver", "crm_prd_info").filter(F.col("prd_end_dt").isNull())
+        return _products_sql(prefix_length(rows, "prd_key", ["prd_start_dt"], bucket_rows))
+
+    builders = {"dim_customers": customers, "dim_products": products, "fact_sales": _sales_sql}
+    for table in only:
+        sql = builders[table]()
         warehouse.make_room("gold", table, for_view=True)
         warehouse.spark.sql(f"CREATE OR REPLACE VIEW gold.{table} AS {sql}")
