@@ -34,18 +34,7 @@ def end_date_versions(df: DataFrame, key: str, start: str, end: str) -> DataFram
         F.col(key).eqNullSafe(F.col("_key")) & F.col(start).eqNullSafe(F.col("_start")),
         "inner",
     )
-    is_last = F.struct(*rest).eqNullSafe(F.col("_last")).cast("long")
-    ended = joined.select(
-        key,
-        start,
-        *rest,
-        F.inline(
-            F.array(
-                F.struct(F.date_sub("_next", 1).alias(end), is_last.alias("_copies")),
-                F.struct(
-                    F.date_sub(start, 1).alias(end), (F.col("_copies") - is_last).alias("_copies")
-                ),
-            )
-        ),
-    ).filter(F.col("_copies") > 0)
-    return repeat_copies(ended, "_copies", "_copy").select(*df.columns)
+    repeated = repeat_copies(joined, "_copies", "_copy")
+    is_last = F.struct(*rest).eqNullSafe(F.col("_last")) & (F.col("_copy") == 0)
+    ended = F.date_sub(F.when(is_last, F.col("_next")).otherwise(F.col(start)), 1)
+    return repeated.withColumn(end, ended).select(*df.columns)

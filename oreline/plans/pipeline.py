@@ -15,7 +15,7 @@ from oreline.plans import gold
 from oreline.plans.quality import load_counts, quality_report, require_row_per_line
 from oreline.plans.silver import silver_builders
 from oreline.plans.views import create_gold_views
-from oreline.schemas import SOURCE_TABLES, SOURCES
+from oreline.schemas import SOURCE_TABLES, SOURCES, Source
 from oreline.session import tune
 from oreline.sources.csv import read_csv
 from oreline.sources.tables import Warehouse, stamped
@@ -37,14 +37,19 @@ def _together(tables: Iterable[str], load: Callable[[str], int]) -> dict[str, in
         return dict(zip(names, pool.map(load, names), strict=True))
 
 
-def read_landing(spark: SparkSession, landing: str) -> dict[str, DataFrame]:
-    return {s.table: read_csv(spark, os.path.join(landing, s.file), s.columns) for s in SOURCES}
+def read_extract(spark: SparkSession, landing: str, source: Source) -> DataFrame:
+    return read_csv(spark, os.path.join(landing, source.file), source.columns)
 
 
 def load_bronze(warehouse: Warehouse, landing: str) -> dict[str, int]:
     """Land the six extracts unchanged."""
-    sources = read_landing(warehouse.spark, landing)
-    return _together(sources, lambda table: warehouse.load(sources[table], "bronze", table))
+    sources = {source.table: source for source in SOURCES}
+
+    def load(table: str) -> int:
+        extract = read_extract(warehouse.spark, landing, sources[table])
+        return warehouse.load(extract, "bronze", table)
+
+    return _together(sources, load)
 
 
 def load_silver(warehouse: Warehouse, as_of: date | None = None) -> dict[str, int]:
@@ -97,7 +102,8 @@ def run_pipeline(
 
 def reconcile(warehouse: Warehouse, landing: str) -> DataFrame:
     """Rows of the extracts against rows of the Bronze tables."""
-    return load_counts(read_landing(warehouse.spark, landing), warehouse.bronze_tables())
+    extracts = {s.table: read_extract(warehouse.spark, landing, s) for s in SOURCES}
+    return load_counts(extracts, warehouse.bronze_tables())
 
 
 def validate(warehouse: Warehouse, strict: bool = True) -> DataFrame:
