@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,24 +12,30 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD = 64
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the size of ``df`` as a broadcast table, from one aggregate over it."""
-    width = F.lit(_ROW_OVERHEAD)
-    for field in df.schema.fields:
-        text = field.dataType.typeName() in ("string", "binary")
-        size = F.coalesce(F.octet_length(field.name), F.lit(0)) if text else F.lit(0)
-        width = width + size + 16
-    return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
+def measured_bytes(*tables: DataFrame) -> list[int]:
+    """Upper estimates of the sizes of ``tables`` as broadcast tables, from one aggregate each."""
+
+    def size(df: DataFrame, position: int) -> DataFrame:
+        width = F.lit(_ROW_OVERHEAD + 16 * len(df.columns)).cast("long")
+        for field in df.schema.fields:
+            if field.dataType.typeName() in ("string", "binary"):
+                width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        total = F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+        return df.agg(total).select(F.lit(position).alias("position"), "bytes")
+
+    sizes = reduce(DataFrame.unionByName, [size(df, i) for i, df in enumerate(tables)]).collect()
+    return [row["bytes"] for row in sorted(sizes, key=lambda row: row["position"])]
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast when its measured size is within ``limit``.
+def broadcast_if_small(*tables: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """Mark those of ``tables`` for broadcast whose measured size is within ``limit``.
 
     Beyond it the join stays a shuffle join, whose skewed partitions are split at run time. The
     check matters for a fact table: left to run time alone, the large side would be shuffled
     before the small one is known to be small.
     """
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
+    sizes = measured_bytes(*tables)
+    return [F.broadcast(df) if n <= limit else df for df, n in zip(tables, sizes, strict=True)]
 
 
 def orphan_rows(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:

@@ -98,17 +98,14 @@ def fact_sales(
     within ``broadcast_bytes`` is copied to the executors. Otherwise the lines are shuffled on the
     natural key, with skewed partitions split.
     """
-    product_keys = products.select("product_key", "product_number")
-    customer_keys = customers.select("customer_key", "customer_id")
-    joined = sales.join(
-        broadcast_if_small(product_keys, broadcast_bytes),
-        F.col("sls_prd_key") == F.col("product_number"),
-        "left",
-    ).join(
-        broadcast_if_small(customer_keys, broadcast_bytes),
-        F.col("sls_cust_id") == F.col("customer_id"),
-        "left",
+    product_keys, customer_keys = broadcast_if_small(
+        products.select("product_key", "product_number"),
+        customers.select("customer_key", "customer_id"),
+        limit=broadcast_bytes,
     )
+    joined = sales.join(
+        product_keys, F.col("sls_prd_key") == F.col("product_number"), "left"
+    ).join(customer_keys, F.col("sls_cust_id") == F.col("customer_id"), "left")
     named = joined.withColumnsRenamed(
         {
             "sls_ord_num": "order_number",

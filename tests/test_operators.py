@@ -227,13 +227,17 @@ def test_keys_do_not_depend_on_input_order(spark, many_partitions):
 
 def test_measured_size_decides_on_broadcast(spark):
     lookup_table = spark.createDataFrame([("a" * 100, 1)] * 10, "k string, v int")
-    size = lookup.measured_bytes(lookup_table)
-    assert size >= 10 * (100 + 4)
+    other = spark.createDataFrame([("b",)], "k3 string")
+    size, other_size = lookup.measured_bytes(lookup_table, other)
+    assert size >= 10 * (100 + 4) and 1 <= other_size < size
     rows = spark.createDataFrame([("a",)], "k2 string")
-    hinted = rows.join(lookup.broadcast_if_small(lookup_table, size), F.col("k2") == F.col("k"))
-    plain = rows.join(lookup.broadcast_if_small(lookup_table, size - 1), F.col("k2") == F.col("k"))
-    assert "ResolvedHint" in _plan(hinted, "extended")
-    assert "ResolvedHint" not in _plan(plain, "extended")
+
+    def plan(limit):
+        table, _ = lookup.broadcast_if_small(lookup_table, other, limit=limit)
+        return _plan(rows.join(table, F.col("k2") == F.col("k")), "extended")
+
+    assert "ResolvedHint" in plan(size)
+    assert "ResolvedHint" not in plan(size - 1)
 
 
 def test_orphans_match_brute_force(spark):

@@ -66,3 +66,19 @@ def test_unused_columns_are_not_read(spark, sf_dir, tmp_path):
     assert (
         "ReadSchema: struct<sls_order_dt:string,sls_ship_dt:string,sls_due_dt:string>" in plan
     )
+
+
+def test_cleansing_stays_small_enough_to_be_compiled(spark, sf_dir, tmp_path):
+    """The JVM interprets methods above 8000 bytes for ever, which costs several times the run time."""
+    from oreline.plans.silver import silver_builders
+    from oreline.sources.samples import EXTRACTS
+
+    for table, build in silver_builders().items():
+        path = str(tmp_path / table)
+        EXTRACTS[table](spark, sf_dir).write.parquet(path)
+        df = build(spark.read.parquet(path))
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(
+            df._jdf.queryExecution().executedPlan()
+        )
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+        assert max(sizes, default=0) < 8000, table
