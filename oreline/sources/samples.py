@@ -127,7 +127,3 @@ EXTRACTS = {
     "erp_loc_a101": erp_loc_a101,
     "erp_px_cat_g1v2": erp_px_cat_g1v2,
 }
-
-
-def sample_bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {table: build(spark, sf_dir) for table, build in EXTRACTS.items()}
