@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import uuid
+from importlib.util import find_spec
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
@@ -26,6 +27,16 @@ from oreline.sources.csv import read_csv, write_csv  # noqa: E402
 from oreline.sources.samples import EXTRACTS  # noqa: E402
 from oreline.sources.tables import Warehouse, stamped  # noqa: E402
 
+# The operators on training data are optional: everything else works without their folder.
+if find_spec("oreline.llm") and find_spec("oreline.llm.queries"):
+    from oreline.llm import queries as llm_queries
+else:
+    llm_queries = None
+if llm_queries and find_spec("corpus_pipeline"):
+    import corpus_pipeline
+else:
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,7 +218,6 @@ def queries() -> dict[str, Query]:
     return {
         "bronze_counts": _bronze_counts,
         **{f"bronze_{short[t]}": _landed(t) for t in cleansed.values()},
-        
         **{q: _bronze_table(t, profiling.PROFILES[t]) for q, t in profiles.items()},
         **{q: _bronze_table(t, builders[t]) for q, t in cleansed.items()},
         "parsed_sales": _bronze_table("crm_sales_details", _parsed_sales),
@@ -250,8 +260,15 @@ def queries() -> dict[str, Query]:
             lambda x: x.customers().orderBy("customer_key").limit(10)
         ),
         "preview_fact_sales": _layered(lambda x: _first_rows(x.fact())),
+        **(llm_queries.QUERIES if llm_queries else {}),
+        **({"pipeline": corpus_pipeline.run} if corpus_pipeline else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    statements = dict(ORACLES)
+    if llm_queries:
+        statements.update(llm_queries.ORACLES)
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return statements
