@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import sharding
+from oreline.llm import mixing, sharding
 from oreline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, documents = mixing.mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
+    "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_mixing": mixing.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
