@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import mixing, sharding, simhash
+from oreline.llm import language, mixing, sharding, simhash
 from oreline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {
