@@ -101,32 +101,39 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, buckets, shares); texts without letters go."""
+    """(lang, place, order, text) -> (lang, place, order, buckets, shares); no letters, no row."""
     for batch in batches:
-        langs, buckets, shares = [], [], []
-        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+        kept, buckets, shares = [], [], []
+        for text in batch.column(3):
             counts, letters = bucket_counts(text.as_py())
+            kept.append(letters > 0)
             if letters:
                 used = np.flatnonzero(counts)
-                langs.append(lang.as_py())
                 buckets.append(used.astype(np.int32).tobytes())
                 shares.append((counts[used] / counts[used].sum()).astype(np.float32).tobytes())
+        left = batch.filter(pa.array(kept, pa.bool_()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())],
-            names=["lang", "buckets", "shares"],
+            [*left.columns[:3], pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())],
+            names=["lang", "place", "order", "buckets", "shares"],
         )
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """The sample: rows with text and language outside the held-out fold."""
+    """The sample, as features: rows with text and language outside the held-out fold."""
     usable = docs.filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
-    ).select("lang", "text", F.xxhash64("doc_id").alias("order"))
+    ).select("lang", F.xxhash64("doc_id").alias("order"), "text")
     first = Window.partitionBy("lang").orderBy("order")
     some = usable.withColumn("place", F.row_number().over(first)).filter(
         F.col("place") <= SAMPLE_A_LANGUAGE
     )
-    return some.orderBy("place", "order").limit(SAMPLE).select("lang", "text")
+    return (
+        some.select("lang", "place", "order", "text")
+        .mapInArrow(_features, "lang string, place int, order long, buckets binary, shares binary")
+        .orderBy("place", "order")
+        .limit(SAMPLE)
+        .select("lang", "buckets", "shares")
+    )
 
 
 def train(docs: DataFrame, epochs: int = 12, rate: float = 4.0, seed: int = 0) -> Model:
@@ -136,8 +143,7 @@ def train(docs: DataFrame, epochs: int = 12, rate: float = 4.0, seed: int = 0) -
     each, come to the driver. Without such rows the model knows no language.
     """
     ship_package(docs.sparkSession)
-    rows = training_rows(docs).mapInArrow(_features, "lang string, buckets binary, shares binary")
-    rows = sorted(map(tuple, rows.collect()))
+    rows = sorted(map(tuple, training_rows(docs).collect()))
     languages = sorted({r[0] for r in rows})
     number = {name: i for i, name in enumerate(languages)}
     data = [
