@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.llm import language, licences, mixing, neighbours, sharding, simhash, toxicity, warc
+from oreline.llm import language, licences, lines, mixing, neighbours, sharding, simhash, toxicity, warc
 from oreline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -58,6 +62,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_licences": op2_licences,
+    "op3_line_dedup": op3_line_dedup,
     "op4_neighbours": op4_neighbours,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_licences": licences.ORACLE,
+    "op3_line_dedup": lines.ORACLE,
     "op5_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op9_sharding": sharding.ORACLE,
