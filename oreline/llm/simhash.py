@@ -7,7 +7,8 @@ within ``BOUND`` bits have embeddings within ``BOUND``, and the lower or the upp
 fingerprint therefore enters, for each half, the grid cells within distance 1 of its embedding (25 on
 average); fingerprints to be linked share a cell, and within a cell the exact distance is checked.
 
-A cell gives the edges of a spanning forest of its links, never all pairs. Cells of more than ``BLOCK``
+A cell gives no more than the edges of a spanning forest of its links (or the few links of a
+small cell), never all pairs. Cells of more than ``BLOCK``
 fingerprints are compared block against block, each pair of blocks in a task's memory of its
 own, so that no cell, however crowded, has to be held or handled by one task. Components of the forest edges are
 then the components of all links.
@@ -153,9 +154,9 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _edges(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (u, v) that connect exactly the fingerprints that links connect."""
     cells = _cells(prints)
-    crowds = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cells.join(crowds, "cell").withColumn(
-        "blocks", F.ceil(F.col("n") / BLOCK).cast("int")
+    crowds = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    shared = cells.join(crowds, "cell", "left").withColumn(
+        "blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     )
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
