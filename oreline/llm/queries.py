@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.llm import language, licences, lines, mixing, neighbours, sharding, simhash, toxicity, warc
+from oreline.llm import decontaminate, language, licences, lines, mixing, neighbours, sharding, simhash, toxicity, warc
 from oreline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontaminate.contaminated(docs, benchmark)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
 }
