@@ -35,7 +35,8 @@ from oreline.llm.common import Scratch, held_out, ship_package
 from oreline.llm.tokens import words
 
 WORD_BUCKETS = 1 << 21
-STEM_BUCKETS = 1 << 18
+STEM_BITS = 18
+STEM_BUCKETS = 1 << STEM_BITS
 STEM = 5
 DISCOUNT = 0.5
 WORD_BACKOFF = 1.0  # weight, in documents, of the stem level below a word
@@ -54,48 +55,58 @@ def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) -> (word, stem, toxic, ordinary): how many documents hold the word.
-
-    Label 1 is toxic, 0 ordinary; words of others come with zeros. Counts are gathered in the task up
-    to a number of entries, then passed on.
-    """
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (word, stem), each pair once a task, or once a piece if a task has very many."""
     held: list[np.ndarray] = []
 
-    def merged() -> np.ndarray:
-        keys = np.concatenate([h[0] for h in held])
-        sums = np.concatenate([h[1] for h in held])
-        unique, at = np.unique(keys, return_inverse=True)
-        total = np.stack([np.bincount(at, sums[:, i], len(unique)) for i in range(2)], axis=1)
-        return unique, total.astype(np.int64)
-
-    def out(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    def out(keys: np.ndarray) -> pa.RecordBatch:
+        columns = [keys >> STEM_BITS, keys & (STEM_BUCKETS - 1)]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array((keys >> 18).astype(np.int32)),
-                pa.array((keys & (STEM_BUCKETS - 1)).astype(np.int32)),
-                *[pa.array(sums[:, i].copy()) for i in range(2)],
-            ],
-            names=["word", "stem", "toxic", "ordinary"],
+            [pa.array(c.astype(np.int32)) for c in columns], names=["word", "stem"]
         )
 
     for batch in batches:
         for first in range(0, batch.num_rows, 512):
-            part = batch.slice(first, 512)
-            word, stem, bounds = _buckets(part.column(1))
-            label = part.column(0).to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            key = (word << 18) | stem
-            once = np.unique((doc << 39) | key)  # a word counts once a document
-            doc, key = once >> 39, once & ((1 << 39) - 1)
-            own = label[doc]
-            held.append((key, np.stack([own == 1, own == 0], axis=1).astype(np.int64)))
-        if sum(len(h[0]) for h in held) > 1 << 20:
-            held = [merged()]
-            if len(held[0][0]) > 1 << 19:
-                yield out(*held.pop())
+            word, stem, _ = _buckets(batch.column(0).slice(first, 512))
+            held.append(np.unique((word << STEM_BITS) | stem))
+        if sum(map(len, held)) > 1 << 21:
+            held = [np.unique(np.concatenate(held))]
+            if len(held[0]) > 1 << 20:
+                yield out(held.pop())
     if held:
-        yield out(*merged())
+        yield out(np.unique(np.concatenate(held)))
+
+
+def _pack(sorted_words: np.ndarray) -> bytes:
+    """Ascending numbers as the three low bytes of their gaps, all first bytes first."""
+    gaps = np.diff(sorted_words, prepend=0).astype("<u4")
+    return gaps.view(np.uint8).reshape(-1, 4).T[:3].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
+    return np.cumsum(planes[0] | planes[1] << 8 | planes[2] << 16)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, words): the different words of each text, packed."""
+    for batch in batches:
+        word, _, bounds = _buckets(batch.column(1))
+        rows = [_pack(np.unique(word[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "words"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, words) -> (word, toxic, ordinary): how many documents of each class hold the word."""
+    counts = np.zeros((2, WORD_BUCKETS), np.int32)
+    for batch in batches:
+        for label, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts[1 - label, _unpack(data.as_py())] += 1
+    found = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(found.astype(np.int32)), *[pa.array(c[found].astype(np.int64)) for c in counts]],
+        names=["word", "toxic", "ordinary"],
+    )
 
 
 @dataclass
@@ -104,7 +115,7 @@ class Model:
 
     toxic: np.ndarray  # documents by word bucket
     ordinary: np.ndarray
-    stems: np.ndarray  # by stem bucket: continuation counts of toxic, of ordinary, shared backoff
+    stems: np.ndarray  # 3 x stem buckets: continuation counts of toxic, of ordinary, shared backoff
     scales: tuple[float, float] = (1.0, 1.0)
     slope: float = 1.0
     offset: float = -2.0
@@ -117,15 +128,15 @@ class Model:
         With ``labels``, the texts are documents of the models, and their own counts are left out.
         """
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        shared = self.stems[stem, 2]
-        middle = (self.stems[stem, 0] + self.stems[stem, 1]) / 2 + shared
+        shared = self.stems[2, stem]
+        middle = (self.stems[0, stem] + self.stems[1, stem]) / 2 + shared
         logs = []
         for i, (table, scale) in enumerate(zip((self.toxic, self.ordinary), self.scales, strict=True)):
             own = 0 if labels is None else (labels[doc] == 1 - i).astype(np.float64)
             seen = np.maximum(table[word] - own - DISCOUNT, 0) * scale
             # A word that only the text itself has gives its stem one word less.
             alone = 0 if labels is None else own * (table[word] <= 1) * min(1.0, scale)
-            level = (np.maximum(self.stems[stem, i] - alone, 0) + shared) / middle
+            level = (np.maximum(self.stems[i, stem] - alone, 0) + shared) / middle
             logs.append(np.log(seen + WORD_BACKOFF * level))
         ratio = logs[0] - logs[1]
         clear = np.sign(ratio) * np.maximum(np.abs(ratio) - MARGIN, 0)
@@ -144,10 +155,12 @@ def _marks(labels: DataFrame) -> DataFrame:
 
 
 def _sums(rows: DataFrame, bucket: str, size: int, names: list[str]) -> np.ndarray:
-    """Columns of a grouped frame as one array; it has ``size`` rows at most."""
-    found = rows.select(bucket, *names).toPandas()
-    out = np.zeros((size, len(names)), np.float64)
-    out[found[bucket].to_numpy()] = found[names].to_numpy()
+    """Columns of a grouped frame by bucket, one row of the array each; ``size`` buckets at most."""
+    found = rows.select(bucket, *[F.col(n).cast("float").alias(n) for n in names]).toArrow()
+    out = np.zeros((len(names), size), np.float32)
+    at = found[bucket].to_numpy()
+    for i, name in enumerate(names):
+        out[i, at] = found[name].to_numpy()
     return out
 
 
@@ -161,34 +174,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     marks = scratch.keep(_marks(labels), "marks")
-    out = held_out(F.col("doc_id"))
-    rows = (
-        docs.filter(~out)
-        .select("doc_id", "text")
-        .join(marks, F.col("doc_id") == F.col("_id"), "left")
-        .select(F.coalesce("label", F.lit(-1)).alias("label"), "text")
-        .unionByName(docs.filter(out).select(F.lit(-1).alias("label"), "text"))
-    )
-    counted = scratch.keep(
-        rows.mapInArrow(_count, "word int, stem int, toxic long, ordinary long")
-        .groupBy("word", "stem")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = texts.filter(~held_out(F.col("doc_id"))).mapInArrow(_packed, f"doc_id {kind}, words binary")
+    # Nothing bounds the number of labels, so they are not broadcast; the packed words are what moves.
+    by_word = scratch.keep(
+        packed.join(marks.hint("merge"), F.col("doc_id") == F.col("_id"))
+        .select("label", "words")
+        .mapInArrow(_count, "word int, toxic long, ordinary long")
+        .groupBy("word")
         .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")),
-        "counts",
+        "words",
     )
-    by_word = counted.filter("toxic + ordinary > 0").groupBy("word")
-    by_word = by_word.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    pairs = texts.select("text").mapInArrow(_pairs, "word int, stem int").distinct()
     counts = _sums(by_word, "word", WORD_BUCKETS, ["toxic", "ordinary"])
-    totals = counts.sum(axis=0)
+    totals = counts.sum(axis=1, dtype=np.float64)
     scales = tuple(float(x) for x in totals.min() / np.maximum(totals, 1.0))
-    by_stem = counted.groupBy("stem").agg(
-        F.sum(F.least(F.col("toxic") * scales[0], F.lit(1.0))).alias("toxic"),
-        F.sum(F.least(F.col("ordinary") * scales[1], F.lit(1.0))).alias("ordinary"),
+    by_stem = pairs.join(by_word, "word", "left").groupBy("stem").agg(
+        F.sum(F.least(F.coalesce("toxic", F.lit(0)) * scales[0], F.lit(1.0))).alias("toxic"),
+        F.sum(F.least(F.coalesce("ordinary", F.lit(0)) * scales[1], F.lit(1.0))).alias("ordinary"),
         (1 + SHARED_PART * F.count("*")).alias("shared"),
     )
     stems = _sums(by_stem, "stem", STEM_BUCKETS, ["toxic", "ordinary", "shared"])
-    stems[:, 2] = np.maximum(stems[:, 2], 1.0)
-    toxic, ordinary = counts.astype(np.float32).T.copy()
-    model = Model(toxic, ordinary, stems.astype(np.float32), scales)
+    stems[2] = np.maximum(stems[2], 1.0)
+    model = Model(counts[0], counts[1], stems, scales)
     calibrate(model, docs, marks)
     return model
 

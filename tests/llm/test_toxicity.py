@@ -62,6 +62,11 @@ def test_odd_rows(spark):
     assert {r.predicted for r in toxicity.score(frame, nothing).collect()} == {0}
 
 
+def test_packing_round_trip():
+    for numbers in ([], [0], [0, 1, 2], [5, 70000, toxicity.WORD_BUCKETS - 1]):
+        assert toxicity._unpack(toxicity._pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
 def test_counts_equal_brute_force(spark):
     docs = [(i, t) for i, t in enumerate(["a b a", "a c", "b", "c c d", "a d"] * 3)]
     marks = [(i, i % 2) for i, _ in docs]
