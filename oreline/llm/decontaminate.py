@@ -4,11 +4,13 @@
 2. A distributed randomised SVD finds the main directions of the TF-IDF matrix of all passages: every task
    adds its passages, with random signs, to the rows of a sketch of ``SKETCH`` x ``VOCABULARY`` (a sparse random
    test matrix of one sign a passage), sketches are added up over two levels, and the driver factors
-   the sum. The first ``COMMON`` directions, which hold languages and very frequent words, are left out.
+   the sum. The first ``COMMON`` directions, which hold languages and very frequent words, are left out
+   as far as ``RANK - COMMON`` others remain.
 3. Every text slides windows over its words; windows and benchmark passages with a cosine of ``CANDIDATE`` or
    more in the latent space are candidates. Short passages are compared with short windows.
 4. A candidate's longest common subsequence with the passage decides: ``COPY`` of its words or more is a copy;
-   from ``PARAPHRASE`` on it is a paraphrase if the words of the passage's answer (its last sentence) occur too.
+   from ``PARAPHRASE`` on it is a paraphrase if the answer occurs too: the rarest words of the passage's
+   last sentence, or of the whole passage where that sentence is short.
 
 Windows never leave their task; only partial sums are shuffled. What is broadcast is the projection (a fixed
 size) and the benchmark's words, whose number is checked.
@@ -38,6 +40,7 @@ PIECE_WORDS = 56  # longer benchmark items are several passages
 LEAST_WORDS = 4  # shorter passages say nothing and are not searched
 CANDIDATE = 0.3
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
+ANSWER_WORDS = 5
 MOST_BENCHMARK_WORDS = 5_000_000
 BLOCKS_AT_ONCE = 4096
 PASSAGES_AT_ONCE = 256
@@ -143,8 +146,8 @@ def _added(table: pa.Table) -> pa.Table:
     )
 
 
-def fit(docs: DataFrame, seed: int = 0) -> np.ndarray:
-    """The projection, one row for each hashed word, with its weight: fitted on all texts of ``docs``.
+def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The projection, one row for each hashed word, and the words' weights, from all texts of ``docs``.
 
     Two passes over the texts run when this is called. Without words it projects all to zero.
     """
@@ -155,7 +158,7 @@ def fit(docs: DataFrame, seed: int = 0) -> np.ndarray:
     total = found.pop(-1, 0)
     weights = np.zeros(VOCABULARY)
     for word, passages in found.items():
-        weights[word] = max(0.0, np.log(total / (1 + passages)))
+        weights[word] = np.log(1 + total / passages)
     shape = "task long, chunk int, sums binary"
     parts = texts.select(F.spark_partition_id().cast("long").alias("task"), "text")
     parts = parts.mapInArrow(_sketch(weights), shape)
@@ -173,12 +176,13 @@ def fit(docs: DataFrame, seed: int = 0) -> np.ndarray:
     values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
     alive = values > 1e-9 * max(float(values[0]), 1e-300)
     right = (sketch.T @ vectors) * np.where(alive, 1 / np.sqrt(np.maximum(values, 1e-300)), 0)
-    return (right[:, COMMON:] * weights[:, None]).astype(np.float32)
+    left_out = max(0, min(COMMON, int(alive.sum()) - (RANK - COMMON)))
+    return (right[:, left_out:] * weights[:, None]).astype(np.float32), weights
 
 
 @dataclass
 class Benchmark:
-    """Passages of the items: hashes, hashed words, the words of their answers."""
+    """Passages of the items as hashes of words, and the words that their answers are chosen from."""
 
     items: list
     hashes: list[np.ndarray]
@@ -192,6 +196,11 @@ class Benchmark:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+    def choose_answers(self, weights: np.ndarray) -> None:
+        rarest = [np.argsort(-weights[_ids(a)], kind="stable")[:ANSWER_WORDS] for a in self.answers]
+        self.answers = [a[r] for a, r in zip(self.answers, rarest, strict=True)]
+
+
 def read_benchmark(benchmark: DataFrame) -> Benchmark:
     """The items of ``benchmark`` (item_id, text), cut into passages; their words are counted first.
 
@@ -211,7 +220,7 @@ def read_benchmark(benchmark: DataFrame) -> Benchmark:
             if len(piece) >= LEAST_WORDS:
                 items.append(item)
                 pieces.append(piece)
-                answers.append(np.unique(answer if len(answer) else piece))
+                answers.append(np.unique(answer if len(np.unique(answer)) >= ANSWER_WORDS else piece))
     return Benchmark(items, pieces, answers)
 
 
@@ -341,6 +350,16 @@ def _candidates(ids, bounds, starts, doc, sums, blocks, latent, bench, own, mask
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _prepared(docs: DataFrame, benchmark: DataFrame):
+    """What the tasks search with, as a broadcast; None if the benchmark has no passage."""
+    bench = read_benchmark(benchmark)
+    if not bench.items:
+        return None
+    projection, weights = fit(docs)
+    bench.choose_answers(weights)
+    return docs.sparkSession.sparkContext.broadcast((projection, bench))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per text and benchmark item found in it: doc_id, item_id, lcs_share (of a passage's words that
     the text has in order), answer_share, similarity (latent cosine) and first_word of the best window.
@@ -352,20 +371,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, item_id long, lcs_share double, answer_share double, similarity double, first_word long"
-    bench = read_benchmark(benchmark)
-    if not bench.items:
+    shared = _prepared(docs, benchmark)
+    if shared is None:
         return spark.createDataFrame([], shape)
-    shared = spark.sparkContext.broadcast((fit(docs), bench))
     return docs.select("doc_id", "text").mapInArrow(_search(shared), shape)
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item, all columns unchanged."""
-    spark = docs.sparkSession
-    bench = read_benchmark(benchmark)
-    if not bench.items:
+    shared = _prepared(docs, benchmark)
+    if shared is None:
         return docs
-    shared = spark.sparkContext.broadcast((fit(docs), bench))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,7 +77,7 @@ def test_paraphrases(spark):
 def test_projection_spans_the_main_directions(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "COMMON", 0)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(40)
-    projection = decontaminate.fit(docs.repartition(3)).astype(np.float64)
+    projection = decontaminate.fit(docs.repartition(3))[0].astype(np.float64)
     hashes, bounds, _ = words(pa.array([r.text for r in docs.collect()]))
     starts, _ = decontaminate._blocks(bounds, decontaminate.PASSAGE)
     ids = decontaminate._ids(hashes)
@@ -85,7 +85,7 @@ def test_projection_spans_the_main_directions(spark, monkeypatch):
     passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
     np.add.at(rows, (passage, ids), 1)
     frequency = (rows > 0).sum(axis=0)
-    weights = np.where(frequency > 0, np.maximum(0, np.log(len(starts) / (1 + frequency))), 0)
+    weights = np.where(frequency > 0, np.log(1 + len(starts) / np.maximum(1, frequency)), 0)
     rows /= np.maximum(np.sqrt((rows * weights**2).sum(axis=1, keepdims=True)), 1e-12)
     rows *= weights
     _, sizes, right = np.linalg.svd(rows, full_matrices=False)
