@@ -28,45 +28,51 @@ from oreline.llm.common import Scratch
 MOST_EDITS = 1  # words
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " +"), "")
+def _even(line: Column) -> Column:
+    """The line's words with one blank between them."""
+    flat = F.translate(line, "\t\x0b\f\r", "    ")
+    return F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat))
 
 
-def _hashed(words: Column, salt: int) -> Column:
-    """64 bits of a sequence of words; salts give independent ones."""
-    return F.xxhash64(F.lit(salt), F.size(words), F.array_join(words, " "))
+def _size(line: Column) -> Column:
+    """Number of words of an even line that is not empty."""
+    return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
-def _halves(words: Column) -> Column:
+def _hashed(line: Column, size: Column, salt: int) -> Column:
+    """64 bits of an even line of ``size`` words; salts give independent ones."""
+    return F.xxhash64(F.lit(salt), size, line)
+
+
+def _first(line: str, n: Column) -> Column:
+    return F.call_function("substring_index", F.col(line), F.lit(" "), n)
+
+
+def _halves(line: str) -> Column:
     """Keys of the beginnings and ends that a near duplicate shares one of.
 
     For lines of n and n or n - 1 words, the words before and behind the edited one make up n - 1 at least,
     so one side has (n - 1) // 2 of them and more, counted from its end of the line.
     """
-    n = F.size(words)
 
     def sides(length: Column) -> list[Column]:
-        first = F.array_join(F.slice(words, F.lit(1), length), " ")
-        last = F.array_join(F.slice(words, n - length + 1, length), " ")
-        return [F.xxhash64(F.lit(1), length, first), F.xxhash64(F.lit(2), length, last)]
+        return [
+            F.xxhash64(F.lit(1), length, _first(line, length)),
+            F.xxhash64(F.lit(2), length, _first(line, -length)),
+        ]
 
-    own = F.floor((n - 1) / 2).cast("int")
-    shorter = F.greatest(F.floor((n - 2) / 2).cast("int"), F.lit(0))
+    own = F.floor((F.col("n") - 1) / 2).cast("int")
+    shorter = F.greatest(F.floor((F.col("n") - 2) / 2), F.lit(0)).cast("int")
     return F.array_distinct(F.array(*sides(own), *sides(shorter)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 1, words) of the lines that have words."""
+    """(doc_id, line_no from 1, line, n) of the lines that have words."""
     split = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(
-        "doc_id",
-        F.explode(
-            F.transform(
-                F.split("text", "\n"),
-                lambda line, i: F.struct((i + 1).cast("int").alias("line_no"), _words(line).alias("words")),
-            )
-        ).alias("line"),
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw")
     )
-    return split.select("doc_id", "line.line_no", "line.words").filter(F.size("words") > 0)
+    even = split.select("doc_id", (F.col("at") + 1).alias("line_no"), _even(F.col("raw")).alias("line"))
+    return even.filter("line <> ''").withColumn("n", _size(F.col("line")))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -80,11 +86,11 @@ def duplicates(docs: DataFrame) -> DataFrame:
     lines are compared whole. Writes narrow tables to the shared folder when called.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs)
+    line, n = F.col("line"), F.col("n")
     keyed = scratch.keep(
-        lines.select(
-            "doc_id", "line_no", _hashed(F.col("words"), 0).alias("h"), _hashed(F.col("words"), 3).alias("g"),
-            _halves(F.col("words")).alias("halves"),
+        _lines(docs).select(
+            "doc_id", "line_no", _hashed(line, n, 0).alias("h"), _hashed(line, n, 3).alias("g"),
+            _halves("line").alias("halves"),
         ),
         "keyed",
     )
@@ -100,45 +106,33 @@ def duplicates(docs: DataFrame) -> DataFrame:
         F.collect_set(F.struct("first.line_no", "h")).alias("_lines")
     )
     texts = docs.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("_doc"))
-    # The second pass over the texts: only documents with such lines, and only these lines of them.
-    wanted = texts.select(
-        "doc_id",
-        F.explode(
-            F.filter(
-                F.transform(
-                    F.split("text", "\n"),
-                    lambda line, i: F.when(
-                        F.exists("_lines", lambda x: x["line_no"] == i + 1),
-                        F.struct((i + 1).cast("int").alias("line_no"), _words(line).alias("words")),
-                    ),
-                ),
-                lambda line: line.isNotNull(),
-            )
-        ).alias("line"),
-        "_lines",
-    )
-    wanted = wanted.select(
-        F.struct("doc_id", "line.line_no").alias("first"), "line.words",
-        _hashed(F.col("line.words"), 0).alias("h"), _hashed(F.col("line.words"), 3).alias("g"), "_lines",
-    ).filter(F.array_contains("_lines", F.struct(F.col("first.line_no").alias("line_no"), F.col("h"))))
-    n = F.size("words")
-
-    def left(i: Column) -> Column:
-        before = F.slice("words", F.lit(1), F.greatest(i - 1, F.lit(0)))
-        return F.when(i == 0, F.col("words")).otherwise(F.concat(before, F.slice("words", i + 1, n)))
-
-    variants = F.transform(
-        F.sequence(F.lit(0), n),  # 0 leaves nothing out
-        lambda i: F.struct(
-            i.alias("out"), _hashed(left(i), 0).alias("key"), _hashed(left(i), 3).alias("proof")
+    # The second pass over the texts picks these lines by number.
+    picked = F.transform(
+        F.array(F.split("text", "\n")),
+        lambda all_lines: F.transform(
+            "_lines",
+            lambda x: F.struct(x["line_no"].alias("line_no"), x["h"].alias("h"), F.get(all_lines, x["line_no"] - 1).alias("raw")),
         ),
     )
+    wanted = texts.select("doc_id", F.explode(F.flatten(picked)).alias("x"))
+    wanted = wanted.select("doc_id", "x.line_no", "x.h", _even(F.col("x.raw")).alias("line"))
+    wanted = wanted.filter("line <> ''").withColumn("n", _size(line))
+    wanted = wanted.filter(_hashed(line, n, 0) == F.col("h")).withColumn("g", _hashed(line, n, 3))
+    # 0 leaves nothing out
+    variants = wanted.select("doc_id", "line_no", "h", "g", "line", "n", F.explode(F.sequence(F.lit(0), n)).alias("out"))
+    out = F.col("out")
+    rest = F.trim(F.concat_ws(" ", _first("line", out - 1), _first("line", out - n)))
+    variants = variants.withColumn("rest", F.when(out == 0, line).otherwise(rest)).withColumn(
+        "size", F.when(out == 0, n).otherwise(n - 1)
+    )
+    rest, size = F.col("rest"), F.col("size")
     around = scratch.keep(
-        wanted.select("first", "h", "g", F.explode(variants).alias("variant")).select(
-            "first", "h", "g", "variant.out", "variant.key", "variant.proof"
+        variants.select(
+            F.struct("doc_id", "line_no").alias("first"), "h", "g", "out",
+            _hashed(rest, size, 0).alias("key"), _hashed(rest, size, 3).alias("proof"),
         ),
         "around",
-    )
+    )
     crowded = around.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     meeting = scratch.keep(around.join(crowded, "key", "left_semi"), "meeting")
     # Equal keys of 64 bits select; only variants equal in 128 bits, at the same place, count as one edit.
