@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from oreline.functions.text import strip
 
 
-def parse_date(text: Column) -> Column:
-    """ISO-like dates; a time of day is dropped."""
-    return F.nullif(strip(text), F.lit("")).try_cast("date")
+# How a source writes dates: ISO (year-month-day, any of month, day and time may be missing), or patterns
+# as Spark's ``to_timestamp`` takes them. Day-first and month-first are never guessed between.
+ISO = "iso"
+
 
+def parse_date(text: Column, formats: Sequence[str] = (ISO,)) -> Column:
+    """The date in the first of the declared ``formats`` that reads it; a time of day is dropped."""
+    return parse_moment(text, formats).cast("date") if formats != (ISO,) else _given(text).try_cast("date")
 
-def parse_moment(text: Column) -> Column:
+
+def parse_moment(text: Column, formats: Sequence[str] = (ISO,)) -> Column:
     """As :func:`parse_date`, but keeps the time of day (used to order change events)."""
-    return F.nullif(strip(text), F.lit("")).try_cast("timestamp_ntz")
+    given = _given(text)
+    readings = [
+        given.try_cast("timestamp_ntz")
+        if fmt == ISO
+        else F.try_to_timestamp(given, F.lit(fmt)).cast("timestamp_ntz")
+        for fmt in formats
+    ]
+    return F.coalesce(*readings)
+
+
+def unreadable_date(text: Column, formats: Sequence[str] = (ISO,)) -> Column:
+    """Whether a text is there that no declared format reads, so that the date is lost."""
+    return _given(text).isNotNull() & parse_date(text, formats).isNull()
+
+
+def _given(text: Column) -> Column:
+    return F.nullif(strip(text), F.lit(""))
 
 
 def parse_compact_date(text: Column) -> Column:

@@ -7,10 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def conform(df: DataFrame, contract: T.StructType) -> DataFrame:
-    """Exactly the contract's columns, in its order and with its types.
+def fitted(name: str, target: T.DataType) -> str:
+    """SQL for column ``name`` in the contract's type; a value that doesn't fit stops the load.
 
-    Amounts are rounded to the contract's scale. One beyond its range fails the load under ANSI
-    mode, Spark's default, instead of being lost.
+    Amounts are rounded to the contract's scale. A fraction where the contract has whole numbers, and
+    a value that the type cannot hold, raise an error, whatever the session's ANSI setting.
     """
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in contract.fields])
+    kind = target.simpleString()
+    lost = f"`{name}` IS NOT NULL AND TRY_CAST(`{name}` AS {kind}) IS NULL"
+    if isinstance(target, T.IntegralType):
+        lost += f" OR `{name}` <> floor(`{name}`)"
+    message = f"concat('{name} does not fit {kind}: ', CAST(`{name}` AS STRING))"
+    return f"CASE WHEN {lost} THEN raise_error({message}) ELSE TRY_CAST(`{name}` AS {kind}) END"
+
+
+def conform(df: DataFrame, contract: T.StructType) -> DataFrame:
+    """Exactly the contract's columns, in its order and with its types; see :func:`fitted`."""
+    given = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(
+        *[
+            F.col(f.name)
+            if given[f.name] == f.dataType
+            else F.expr(fitted(f.name, f.dataType)).alias(f.name)
+            for f in contract.fields
+        ]
+    )

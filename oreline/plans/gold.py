@@ -31,6 +31,7 @@ def customer_rows(
     """
     people = count_copies(demographics.select(F.col("cid").alias("_cid"), "bdate", "gen"), "_n_demo")
     places = count_copies(locations.select(F.col("cid").alias("_cid_loc"), "cntry"), "_n_loc")
+    # Silver column names and the Gold names they get.
     return (
         customers.join(people, F.col("cst_key") == F.col("_cid"), "left")
         .join(places, F.col("cst_key") == F.col("_cid_loc"), "left")
@@ -106,6 +107,7 @@ def fact_sales(
     joined = sales.join(
         product_keys, F.col("sls_prd_key") == F.col("product_number"), "left"
     ).join(customer_keys, F.col("sls_cust_id") == F.col("customer_id"), "left")
+    # Silver column names and the Gold names they get.
     named = joined.withColumnsRenamed(
         {
             "sls_ord_num": "order_number",

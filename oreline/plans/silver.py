@@ -30,18 +30,24 @@ from oreline.functions.text import (
 from oreline.operators.latest import latest_per_key
 from oreline.operators.repair import repair_sales
 from oreline.operators.versions import end_date_versions
+from oreline.schemas import DATE_FORMATS
 
 
 def as_of_column(as_of: date | None) -> Column:
     return F.current_date() if as_of is None else F.lit(as_of)
 
 
-def crm_cust_info(bronze: DataFrame) -> DataFrame:
+Formats = tuple[str, ...]
+
+
+def crm_cust_info(
+    bronze: DataFrame, dates: Formats = DATE_FORMATS["crm_cust_info"]
+) -> DataFrame:
     """Latest change event of every identified customer, names trimmed, codes spelled out."""
     latest = latest_per_key(
         bronze.filter(~is_blank(F.col("cst_id"))),
         key="cst_id",
-        recency=parse_moment(F.col("cst_create_date")),
+        recency=parse_moment(F.col("cst_create_date"), dates),
         ties=[c for c in bronze.columns if c != "cst_id"],
     )
     return latest.select(
@@ -51,7 +57,7 @@ def crm_cust_info(bronze: DataFrame) -> DataFrame:
         strip(F.col("cst_lastname")).alias("cst_lastname"),
         label(F.col("cst_marital_status"), MARITAL_STATUS).alias("cst_marital_status"),
         label(F.col("cst_gndr"), CRM_GENDER).alias("cst_gndr"),
-        parse_date(F.col("cst_create_date")).alias("cst_create_date"),
+        parse_date(F.col("cst_create_date"), dates).alias("cst_create_date"),
     )
 
 
@@ -60,7 +66,7 @@ def split_product_key(key: Column) -> tuple[Column, Column]:
     return swap(first_chars(key, 5), "-", "_"), without_first(key, 6)
 
 
-def crm_prd_info(bronze: DataFrame) -> DataFrame:
+def crm_prd_info(bronze: DataFrame, dates: Formats = DATE_FORMATS["crm_prd_info"]) -> DataFrame:
     """Product versions with split key, default cost, line name and recomputed end date."""
     category, number = split_product_key(F.col("prd_key"))
     versions = bronze.select(
@@ -69,7 +75,7 @@ def crm_prd_info(bronze: DataFrame) -> DataFrame:
         "prd_nm",
         F.coalesce(parse_number(F.col("prd_cost")), F.lit(0.0)).alias("prd_cost"),
         label(F.col("prd_line"), PRODUCT_LINE).alias("prd_line"),
-        parse_date(F.col("prd_start_dt")).alias("prd_start_dt"),
+        parse_date(F.col("prd_start_dt"), dates).alias("prd_start_dt"),
         F.lit(None).cast("date").alias("prd_end_dt"),
         category.alias("cat_id"),
     )
@@ -90,11 +96,13 @@ def crm_sales_details(bronze: DataFrame) -> DataFrame:
     return repair_sales(typed, sales="sls_sales", quantity="sls_quantity", price="sls_price")
 
 
-def erp_cust_az12(bronze: DataFrame, as_of: date | None = None) -> DataFrame:
+def erp_cust_az12(
+    bronze: DataFrame, as_of: date | None = None, dates: Formats = DATE_FORMATS["erp_cust_az12"]
+) -> DataFrame:
     """Demographics keyed like the CRM, without birthdates after ``as_of`` (today)."""
     return bronze.select(
         drop_prefix(F.col("cid"), "NAS").alias("cid"),
-        past_or_null(parse_date(F.col("bdate")), as_of_column(as_of)).alias("bdate"),
+        past_or_null(parse_date(F.col("bdate"), dates), as_of_column(as_of)).alias("bdate"),
         label(F.col("gen"), ERP_GENDER).alias("gen"),
     )
 
@@ -122,8 +130,3 @@ def silver_builders(as_of: date | None = None) -> dict[str, Callable[[DataFrame]
         "erp_px_cat_g1v2": erp_px_cat_g1v2,
     }
 
-
-def build_silver(
-    bronze: dict[str, DataFrame], as_of: date | None = None
-) -> dict[str, DataFrame]:
-    return {table: build(bronze[table]) for table, build in silver_builders(as_of).items()}

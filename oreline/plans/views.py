@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oreline.operators.conform import fitted
 from oreline.schemas import GOLD_CONTRACT
 from oreline.sources.tables import Warehouse
 
@@ -37,7 +38,7 @@ def prefix_length(df: DataFrame, key: str, by: list[str], bucket_rows: int = BUC
 
 def _typed(table: str, skip: str) -> str:
     fields = [f for f in GOLD_CONTRACT[table].fields if f.name != skip]
-    return ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in fields)
+    return ", ".join(f"{fitted(f.name, f.dataType)} AS {f.name}" for f in fields)
 
 
 def _numbered(rows: str, table: str, key: str, bucket: list[str], order: list[str]) -> str:

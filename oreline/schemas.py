@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# Layer names, the load-time column and the label of an unknown code.
 LAYERS = ("bronze", "silver", "gold")
 LOAD_STAMP = "dwh_create_date"
 UNKNOWN = "n/a"
@@ -18,6 +19,7 @@ class Source:
     file: str
     table: str
     columns: tuple[str, ...]
+    date_formats: tuple[str, ...] = ("iso",)  # of its date columns, tried in this order
 
 
 # Extract names, table names and column names of the two source systems.
@@ -60,6 +62,7 @@ SOURCES: tuple[Source, ...] = (
     Source("PX_CAT_G1V2.csv", "erp_px_cat_g1v2", ("id", "cat", "subcat", "maintenance")),
 )
 SOURCE_TABLES = tuple(source.table for source in SOURCES)
+DATE_FORMATS = {source.table: source.date_formats for source in SOURCES}
 
 # The documented star-schema contract.
 _MONEY = T.DecimalType(10, 2)

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 # Split skewed join partitions also where that costs one more shuffle further up, for example
 # between two joins on the same key.
-SKEW_SETTINGS = {
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Arithmetic that overflows stops instead of giving null.
+    "spark.sql.ansi.enabled": "true",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else built."""
-    for name, value in SKEW_SETTINGS.items():
+    for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
 
@@ -43,6 +50,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return tune(spark)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, which every executor reaches.
+
+    It is removed when the driver's Python ends, if the session still runs then.
+    """
+    folder = f"{require_checkpoint_dir(spark)}/oreline-{name}-{uuid.uuid4().hex}"
+    at_end(spark, lambda: remove_folder(spark, folder))
+    return folder
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def at_end(spark: SparkSession, action: Callable[[], object]) -> None:
+    """Run ``action`` when the driver's Python ends, unless the session has ended before."""
+
+    def run() -> None:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Py4JError, OSError):
+                action()
+
+    atexit.register(run)
+
+
 def require_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the session's own, as the cluster configured it.
 

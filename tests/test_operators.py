@@ -288,5 +288,39 @@ def test_amount_beyond_the_contract_stops_the_load(spark):
     df = spark.createDataFrame([(1e20,)], "cost double").withColumns(
         {f.name: F.lit(None) for f in GOLD_CONTRACT["dim_products"].fields if f.name != "cost"}
     )
-    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+    with pytest.raises(Exception, match="does not fit"):
         conform.conform(df, GOLD_CONTRACT["dim_products"]).collect()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_nothing_is_lost_on_the_way_to_the_contract(spark, ansi):
+    fields = ("order_number string, product_key long, customer_key long, order_date date, ship_date date,"
+              " due_date date, sales_amount double, quantity double, price double")
+    row = ("SO1", 1, 1, None, None, None, 10.0, 2.0, 4.999)
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        def run(**changed):
+            names = [f.split()[0] for f in fields.split(", ")]
+            values = [changed.get(n, v) for n, v in zip(names, row, strict=True)]
+            frame = spark.createDataFrame([tuple(values)], fields)
+            return conform.conform(frame, GOLD_CONTRACT["fact_sales"]).first()
+
+        kept = run()
+        assert kept["quantity"] == 2 and str(kept["price"]) == "5.00"
+        assert run(quantity=None, price=None)["quantity"] is None
+        for lost in ({"quantity": 2.5}, {"quantity": 3e9}, {"price": 123456789.5}):
+            with pytest.raises(Exception, match="does not fit"):
+                run(**lost)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_version_end_dates_read_their_rows_once(spark, tmp_path):
+    rows = [(1, "a", date(2020, 1, 1), None, "x"), (2, "a", date(2021, 1, 1), None, "y"), (3, "b", None, None, "z")]
+    _versions(spark, rows).write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    got = versions.end_date_versions(stored, "k", "d", "e")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 or "ReusedExchange" in plan
