@@ -189,6 +189,10 @@ def _rule(rule: str, violations: str, table: str, checked: str = "count(*)") ->
     )
 
 
+def _unreadable(column: str) -> str:
+    return f"trim({column}) <> '' and try_cast(trim({column}) as date) is null"
+
+
 def _count_where(condition: str) -> str:
     return f"sum(case when {condition} then 1 else 0 end)"
 
@@ -316,6 +320,7 @@ _PROFILES = {
         {
             "duplicate_cst_id": "count(*) - count(distinct cst_id)",
             "blank_cst_id": _count_where("cst_id = ''"),
+            "unreadable_create_date": _count_where(_unreadable("cst_create_date")),
         },
     )
     + "\nunion all "
@@ -324,7 +329,10 @@ _PROFILES = {
     + _values("b_crm_cust_info", "cst_marital_status"),
     "crm_prd_info": _metrics(
         "b_crm_prd_info",
-        {"missing_cost": _count_where("try_cast(nullif(prd_cost, '') as double) is null")},
+        {
+            "missing_cost": _count_where("try_cast(nullif(prd_cost, '') as double) is null"),
+            "unreadable_start_date": _count_where(_unreadable("prd_start_dt")),
+        },
     )
     + "\nunion all (select 'key_prefix' as metric, substr(prd_key, 1, 5) as value, "
     "count(*) as n from b_crm_prd_info group by substr(prd_key, 1, 5) order by value limit 5)"
@@ -346,6 +354,7 @@ _PROFILES = {
         {
             "nas_prefix": _count_where("starts_with(cid, 'NAS')"),
             "future_bdate": _count_where("try_cast(bdate as date) > date '2026-01-01'"),
+            "unreadable_bdate": _count_where(_unreadable("bdate")),
         },
     )
     + "\nunion all "

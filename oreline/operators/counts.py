@@ -30,6 +30,28 @@ def value_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def flag_and_value_rows(
+    df: DataFrame, flags: dict[str, Column], values: dict[str, Column]
+) -> DataFrame:
+    """Counts of flagged rows (``value`` null; also those of 0) and of distinct values, from one scan."""
+    entry = [
+        F.struct(F.lit(k).alias("metric"), F.lit(True).alias("flag"), F.lit(None).cast("string").alias("value"),
+                 F.when(c, 1).otherwise(0).cast("long").alias("n"))
+        for k, c in flags.items()
+    ] + [
+        F.struct(F.lit(k).alias("metric"), F.lit(False).alias("flag"), c.cast("string").alias("value"),
+                 F.lit(1).cast("long").alias("n"))
+        for k, c in values.items()
+    ]
+    counted = df.select(F.inline(F.array(*entry))).groupBy("metric", "flag", "value").agg(F.sum("n").alias("n"))
+    # An empty table has no values, but its flags are 0.
+    zeros = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(0).cast("long").alias("n")) for k in flags])
+    none = df.sparkSession.range(1).select(F.inline(zeros))
+    none = none.select("metric", F.lit(True).alias("flag"), F.lit(None).cast("string").alias("value"), "n")
+    both = counted.unionByName(none).groupBy("metric", "flag", "value").agg(F.sum("n").alias("n"))
+    return both.select("metric", "value", "n")
+
+
 def count_if(condition: Column) -> Column:
     return F.count_if(condition)
 

@@ -9,19 +9,33 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreline.functions.logic import differs, holds
-from oreline.functions.parsing import parse_compact_date, parse_moment, parse_number
+from oreline.functions.parsing import (
+    parse_compact_date,
+    parse_moment,
+    parse_number,
+    unreadable_date,
+)
 from oreline.functions.text import first_chars, is_blank
-from oreline.operators.counts import count_if, duplicates, key_counts, metric_rows, value_rows
+from oreline.operators.counts import (
+    count_if,
+    duplicates,
+    flag_and_value_rows,
+    key_counts,
+    metric_rows,
+    value_rows,
+)
+from oreline.schemas import DATE_FORMATS
 
 PREFIX_SAMPLE = 5
 
 
 def profile_customers(bronze: DataFrame) -> DataFrame:
     """Repeated and blank customer ids, raw gender and marital codes."""
+    dates = DATE_FORMATS["crm_cust_info"]
     ids = metric_rows(
         key_counts(bronze, "cst_id"),
         {
@@ -29,22 +43,28 @@ def profile_customers(bronze: DataFrame) -> DataFrame:
             "blank_cst_id": F.sum(F.when(is_blank(F.col("key")), F.col("n"))),
         },
     )
-    return ids.unionByName(value_rows(bronze, ["cst_gndr", "cst_marital_status"]))
+    found = flag_and_value_rows(
+        bronze,
+        {"unreadable_create_date": unreadable_date(F.col("cst_create_date"), dates)},
+        {c: F.col(c) for c in ("cst_gndr", "cst_marital_status")},
+    )
+    return ids.unionByName(found)
 
 
 def profile_products(bronze: DataFrame) -> DataFrame:
     """A sample of key prefixes, unreadable costs, raw line codes."""
-    prefixes = (
-        bronze.groupBy(first_chars(F.col("prd_key"), 5).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("value")
-        .limit(PREFIX_SAMPLE)
-        .select(F.lit("key_prefix").alias("metric"), "value", "n")
-    )
-    costs = metric_rows(
-        bronze, {"missing_cost": count_if(parse_number(F.col("prd_cost")).isNull())}
+    dates = DATE_FORMATS["crm_prd_info"]
+    found = flag_and_value_rows(
+        bronze,
+        {
+            "missing_cost": parse_number(F.col("prd_cost")).isNull(),
+            "unreadable_start_date": unreadable_date(F.col("prd_start_dt"), dates),
+        },
+        {"key_prefix": first_chars(F.col("prd_key"), 5), "prd_line": F.col("prd_line")},
     )
-    return costs.unionByName(prefixes).unionByName(value_rows(bronze, ["prd_line"]))
+    place = F.row_number().over(Window.partitionBy("metric").orderBy("value"))
+    sampled = (F.col("metric") != "key_prefix") | (place <= PREFIX_SAMPLE)
+    return found.withColumn("_kept", sampled).filter("_kept").drop("_kept")
 
 
 def profile_sales(bronze: DataFrame) -> DataFrame:
@@ -72,14 +92,16 @@ def _now(as_of: datetime | None) -> Column:
 
 def profile_demographics(bronze: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Prefixed ids, birthdates in the future, raw gender codes."""
-    counts = metric_rows(
+    dates = DATE_FORMATS["erp_cust_az12"]
+    return flag_and_value_rows(
         bronze,
         {
-            "nas_prefix": count_if(F.col("cid").startswith("NAS")),
-            "future_bdate": count_if(parse_moment(F.col("bdate")) > _now(as_of)),
+            "nas_prefix": F.col("cid").startswith("NAS"),
+            "future_bdate": parse_moment(F.col("bdate"), dates) > _now(as_of),
+            "unreadable_bdate": unreadable_date(F.col("bdate"), dates),
         },
+        {"gen": F.col("gen")},
     )
-    return counts.unionByName(value_rows(bronze, ["gen"]))
 
 
 def profile_locations(bronze: DataFrame) -> DataFrame:
