@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreline.operators.copies import repeat_copies
-from oreline.session import require_checkpoint_dir
+from oreline.session import run_folder
 
 # monotonically_increasing_id() keeps the partition number above this many bits of row position.
 _POSITION_BITS = 33
@@ -22,21 +22,24 @@ def dense_key(
     ``row_number`` without a partition would sort the table in one task. Here the rows are
     range-partitioned and sorted once, numbered within their partition, and shifted by the number
     of rows in the partitions before, a list no longer than the number of partitions. The sorted
-    rows are checkpointed: range bounds come from a sample, so both uses of the partition numbers
-    must see the same run, also after an executor was lost.
+    rows are written to the shared folder: range bounds come from a sample, so both uses of the
+    partition numbers must see the same run, also after an executor was lost. That write runs when the
+    function is called; the partition sizes are read from one column of it.
 
     ``copies`` names a count column: such a row stands for that many rows and takes that many keys.
     """
-    require_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
     rest = [c for c in df.columns if c not in order and c != copies]
     sort = [F.col(c).asc_nulls_last() for c in [*order, *rest]]
-    placed = (
+    numbered = (
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", _POSITION_BITS))
-        .checkpoint()
     )
+    folder = run_folder(spark, "keys")
+    numbered.write.parquet(folder)
+    placed = spark.read.schema(numbered.schema).parquet(folder)
     position = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
 
     # One row per partition of the range shuffle, so this list is as short as the partition count.
@@ -49,7 +52,7 @@ def dense_key(
     )
     repeated = any(row["keys"] != row["n"] for row in sizes)
     starts = accumulate((row["keys"] for row in sizes), initial=0)
-    offsets = df.sparkSession.createDataFrame(
+    offsets = spark.createDataFrame(
         [(row["_part"], start) for row, start in zip(sizes, starts, strict=False)],
         "_p long, _offset long",
     )

@@ -23,8 +23,12 @@ def end_date_versions(df: DataFrame, key: str, start: str, end: str) -> DataFram
     rest = [c for c in df.columns if c not in (key, start, end)]
     rows = count_copies(df.drop(end), "_copies")
 
-    groups = rows.groupBy(F.col(key).alias("_key"), F.col(start).alias("_start")).agg(
-        F.max(F.struct(*rest)).alias("_last")
+    # With the copies summed up too, both sides need all of the counted rows: one scan and one shuffle
+    # of them serve both.
+    groups = (
+        rows.groupBy(F.col(key).alias("_key"), F.col(start).alias("_start"))
+        .agg(F.max(F.struct(*rest)).alias("_last"), F.sum("_copies").alias("_all"))
+        .filter("_all > 0")
     )
     by_day = Window.partitionBy("_key").orderBy(F.col("_start").asc_nulls_last())
     groups = groups.withColumn("_next", F.lead("_start").over(by_day))

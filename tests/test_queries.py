@@ -9,8 +9,9 @@ from helpers import bag
 
 import __spark_entry__ as entry_points
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+OPTIONAL = set(entry_points.llm_queries.QUERIES) | {"pipeline"} if entry_points.llm_queries else set()
+QUERIES = {k: q for k, q in entry_points.queries().items() if k not in OPTIONAL}
+ORACLES = {k: s for k, s in entry_points.oracle_sql().items() if k not in OPTIONAL}
 
 
 @pytest.fixture(scope="module")
