@@ -8,7 +8,7 @@ import uuid
 from importlib.util import find_spec
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +21,8 @@ from oreline.operators.keys import dense_key  # noqa: E402
 from oreline.operators.latest import latest_per_key  # noqa: E402
 from oreline.operators.lookup import orphan_rows  # noqa: E402
 from oreline.plans import gold, profiling, quality, reports, silver, views  # noqa: E402
-from oreline.schemas import SOURCES  # noqa: E402
-from oreline.session import require_checkpoint_dir, tune  # noqa: E402
+from oreline.schemas import GOLD_CONTRACT, LOAD_STAMP, SOURCES  # noqa: E402
+from oreline.session import at_end, run_folder, tune  # noqa: E402
 from oreline.sources.csv import read_csv, write_csv  # noqa: E402
 from oreline.sources.samples import EXTRACTS  # noqa: E402
 from oreline.sources.tables import Warehouse, stamped  # noqa: E402
@@ -100,16 +100,23 @@ def _layered(build: Callable[[Layers], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(Layers(spark, sf_dir))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder next to the checkpoints, which every executor can reach."""
-    return f"{require_checkpoint_dir(spark)}/oreline-{uuid.uuid4().hex}"
+def _own_warehouse(spark: SparkSession) -> Warehouse:
+    """A warehouse in a new folder and namespace; both go when the driver's Python ends.
+
+    Queries load into it, so they never touch the tables of others.
+    """
+    folder = run_folder(spark, "query")
+    warehouse = Warehouse(spark, f"{folder}/tables", prefix=f"q{uuid.uuid4().hex}_")
+    warehouse.create_layers()
+    at_end(spark, warehouse.drop_layers)
+    return warehouse
 
 
 def _landed(table: str) -> Query:
     """The extract written as CSV and read back, untyped."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{_shared_folder(spark)}/{table}.csv"
+        path = f"{run_folder(spark, 'query')}/{table}.csv"
         extract = EXTRACTS[table](spark, sf_dir)
         write_csv(extract, path)
         return read_csv(spark, path, extract.columns)
@@ -119,9 +126,7 @@ def _landed(table: str) -> Query:
 
 def _bronze_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the landed CSV files against rows of the Bronze tables loaded from them."""
-    folder = _shared_folder(spark)
-    warehouse = Warehouse(spark, f"{folder}/tables")
-    warehouse.create_layers()
+    warehouse, folder = _own_warehouse(spark), run_folder(spark, "query")
     landed = {}
     for source in SOURCES:
         path = f"{folder}/{source.file}"
@@ -136,16 +141,54 @@ def _live(table: str, inputs: tuple[str, ...]) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         layers = Layers(spark, sf_dir)
-        warehouse = Warehouse(spark, f"{_shared_folder(spark)}/tables")
-        warehouse.create_layers()
+        warehouse = _own_warehouse(spark)
         for name in inputs:
             warehouse.load(stamped(layers.silver[name]), "silver", name)
-        views.create_gold_views(warehouse, only=(table,))
+        views.create_gold_views(warehouse, only=(table,) if table != "fact_sales" else views.GOLD)
         return warehouse.read("gold", table)
 
     return query
 
 
+def _load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each load of a Silver table reports, against those that the table then has."""
+    layers, warehouse = Layers(spark, sf_dir), _own_warehouse(spark)
+    tables = [s.table for s in SOURCES]
+    rows = [(t, warehouse.load(stamped(layers.silver[t]), "silver", t)) for t in tables]
+    reported = spark.createDataFrame(rows, "table string, reported_rows long")
+    counted = [
+        warehouse.read("silver", t).agg(F.count(F.lit(1)).alias("stored_rows")).withColumn("table", F.lit(t))
+        for t in tables
+    ]
+    return reported.join(reduce(DataFrame.unionByName, counted), "table")
+
+
+def _silver_load_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each loaded Silver table, its rows, rows without a load time, and different load times."""
+    layers, warehouse = Layers(spark, sf_dir), _own_warehouse(spark)
+    parts = []
+    for source in SOURCES:
+        warehouse.load(stamped(layers.silver[source.table]), "silver", source.table)
+        stamp = F.col(LOAD_STAMP)
+        parts.append(
+            warehouse.read("silver", source.table).agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.count_if(stamp.isNull()).alias("without_time"),
+                F.count_distinct(stamp).alias("load_times"),
+            ).withColumn("table", F.lit(source.table))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _preview(table: str, order: tuple[str, ...], build: Callable[[Layers], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        warehouse = _own_warehouse(spark)
+        warehouse.load(build(Layers(spark, sf_dir)), "gold", table)
+        return warehouse.preview("gold", table, order)
+
+    return query
+
+
 def _parsed_sales(bronze: DataFrame) -> DataFrame:
     """Order lines with typed dates and numbers, before any repair."""
     dates = ("sls_order_dt", "sls_ship_dt", "sls_due_dt")
@@ -187,10 +230,6 @@ def _known_gender(layers: Layers) -> DataFrame:
     )
 
 
-def _first_rows(df: DataFrame) -> DataFrame:
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]).limit(10)
-
-
 def entry(spark: SparkSession) -> DataFrame:
     """Total sales by country on the smallest test tables."""
     return _sales_by_country(Layers(spark, SMOKE_DIR))
@@ -256,10 +295,15 @@ def queries() -> dict[str, Query]:
             "dim_customers", ("crm_cust_info", "erp_cust_az12", "erp_loc_a101")
         ),
         "live_dim_products": _live("dim_products", ("crm_prd_info", "erp_px_cat_g1v2")),
-        "preview_dim_customers": _layered(
-            lambda x: x.customers().orderBy("customer_key").limit(10)
+        "live_fact_sales": _live("fact_sales", tuple(s.table for s in SOURCES)),
+        "load_report": _load_report,
+        "silver_load_times": _silver_load_times,
+        "preview_dim_customers": _preview(
+            "dim_customers", ("customer_key",), Layers.customers
+        ),
+        "preview_fact_sales": _preview(
+            "fact_sales", tuple(GOLD_CONTRACT["fact_sales"].names), Layers.fact
         ),
-        "preview_fact_sales": _layered(lambda x: _first_rows(x.fact())),
         **(llm_queries.QUERIES if llm_queries else {}),
         **({"pipeline": corpus_pipeline.run} if corpus_pipeline else {}),
     }

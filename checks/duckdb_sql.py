@@ -308,6 +308,15 @@ BRONZE_COUNTS = "\nunion all ".join(
     f"cast(0 as bigint) as difference from b_{name}"
     for name in EXTRACTS
 )
+LOAD_REPORT = "\nunion all ".join(
+    f"select '{name}' as \"table\", count(*) as reported_rows, count(*) as stored_rows from s_{name}"
+    for name in EXTRACTS
+)
+SILVER_LOAD_TIMES = "\nunion all ".join(
+    f"select '{name}' as \"table\", count(*) as \"rows\", cast(0 as bigint) as without_time, "
+    f"cast(1 as bigint) as load_times from s_{name}"
+    for name in EXTRACTS
+)
 SALES_BY_COUNTRY = """
 select country, cast(sum(sales_amount) as decimal(38, 2)) as sales_amount
 from g_fact_sales f join g_dim_customers c on f.customer_key = c.customer_key
@@ -440,6 +449,9 @@ ORACLES: dict[str, str] = {
     ),
     "live_dim_customers": _select_all("g_dim_customers"),
     "live_dim_products": _select_all("g_dim_products"),
+    "live_fact_sales": _select_all("g_fact_sales"),
+    "load_report": with_inputs(LOAD_REPORT),
+    "silver_load_times": with_inputs(SILVER_LOAD_TIMES),
     "gold_dim_customers": _select_all("g_dim_customers"),
     "gold_dim_products": _select_all("g_dim_products"),
     "gold_fact_sales": _select_all("g_fact_sales"),

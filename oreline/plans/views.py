@@ -15,6 +15,7 @@ from oreline.schemas import GOLD_CONTRACT
 from oreline.sources.tables import Warehouse
 
 BUCKET_ROWS = 1_000_000
+GOLD = ("dim_customers", "dim_products", "fact_sales")
 
 
 def prefix_length(df: DataFrame, key: str, by: list[str], bucket_rows: int = BUCKET_ROWS) -> int:
@@ -64,27 +65,27 @@ numbered AS (
 SELECT CAST(position AS BIGINT) AS {key}, {_typed(table, key)} FROM numbered"""
 
 
-def _customers_sql(prefix: int) -> str:
-    rows = """
+def _customers_sql(prefix: int, silver: str) -> str:
+    rows = f"""
   SELECT c.cst_id AS customer_id, c.cst_key AS customer_number, c.cst_firstname AS first_name,
          c.cst_lastname AS last_name, l.cntry AS country, c.cst_marital_status AS marital_status,
          CASE WHEN c.cst_gndr <> 'n/a' THEN c.cst_gndr ELSE coalesce(d.gen, 'n/a') END AS gender,
          d.bdate AS birthdate, c.cst_create_date AS create_date
-  FROM silver.crm_cust_info c
-  LEFT JOIN silver.erp_cust_az12 d ON c.cst_key = d.cid
-  LEFT JOIN silver.erp_loc_a101 l ON c.cst_key = l.cid"""
+  FROM {silver}.crm_cust_info c
+  LEFT JOIN {silver}.erp_cust_az12 d ON c.cst_key = d.cid
+  LEFT JOIN {silver}.erp_loc_a101 l ON c.cst_key = l.cid"""
     order = [f.name for f in GOLD_CONTRACT["dim_customers"].fields if f.name != "customer_key"]
     bucket = [f"substring(customer_id, 1, {prefix})"]
     return _numbered(rows, "dim_customers", "customer_key", bucket, order)
 
 
-def _products_sql(prefix: int) -> str:
-    rows = """
+def _products_sql(prefix: int, silver: str) -> str:
+    rows = f"""
   SELECT p.prd_id AS product_id, p.prd_key AS product_number, p.prd_nm AS product_name,
          p.cat_id AS category_id, c.cat AS category, c.subcat AS subcategory, c.maintenance,
          p.prd_cost AS cost, p.prd_line AS product_line, p.prd_start_dt AS start_date
-  FROM silver.crm_prd_info p
-  LEFT JOIN silver.erp_px_cat_g1v2 c ON p.cat_id = c.id
+  FROM {silver}.crm_prd_info p
+  LEFT JOIN {silver}.erp_px_cat_g1v2 c ON p.cat_id = c.id
   WHERE p.prd_end_dt IS NULL"""
     order = [
         "start_date",
@@ -102,34 +103,39 @@ def _products_sql(prefix: int) -> str:
     return _numbered(rows, "dim_products", "product_key", bucket, order)
 
 
-def _sales_sql() -> str:
-    rows = """
+def _sales_sql(silver: str, gold: str) -> str:
+    rows = f"""
   SELECT s.sls_ord_num AS order_number, p.product_key, c.customer_key,
          s.sls_order_dt AS order_date, s.sls_ship_dt AS ship_date, s.sls_due_dt AS due_date,
          s.sls_sales AS sales_amount, s.sls_quantity AS quantity, s.sls_price AS price
-  FROM silver.crm_sales_details s
-  LEFT JOIN gold.dim_products p ON s.sls_prd_key = p.product_number
-  LEFT JOIN gold.dim_customers c ON s.sls_cust_id = c.customer_id"""
+  FROM {silver}.crm_sales_details s
+  LEFT JOIN {gold}.dim_products p ON s.sls_prd_key = p.product_number
+  LEFT JOIN {gold}.dim_customers c ON s.sls_cust_id = c.customer_id"""
     return f"SELECT {_typed('fact_sales', '')} FROM ({rows})"
 
 
 def create_gold_views(
     warehouse: Warehouse,
     bucket_rows: int = BUCKET_ROWS,
-    only: tuple[str, ...] = ("dim_customers", "dim_products", "fact_sales"),
+    only: tuple[str, ...] = GOLD,
 ) -> None:
     """Define the Gold objects as views over Silver, in place of loaded tables."""
+    silver = warehouse.schema("silver")
 
     def customers() -> str:
         rows = warehouse.read("silver", "crm_cust_info")
-        return _customers_sql(prefix_length(rows, "cst_id", [], bucket_rows))
+        return _customers_sql(prefix_length(rows, "cst_id", [], bucket_rows), silver)
 
     def products() -> str:
         rows = warehouse.read("silver", "crm_prd_info").filter(F.col("prd_end_dt").isNull())
-        return _products_sql(prefix_length(rows, "prd_key", ["prd_start_dt"], bucket_rows))
+        length = prefix_length(rows, "prd_key", ["prd_start_dt"], bucket_rows)
+        return _products_sql(length, silver)
 
-    builders = {"dim_customers": customers, "dim_products": products, "fact_sales": _sales_sql}
+    def sales() -> str:
+        return _sales_sql(silver, warehouse.schema("gold"))
+
+    builders = {"dim_customers": customers, "dim_products": products, "fact_sales": sales}
     for table in only:
         sql = builders[table]()
         warehouse.make_room("gold", table, for_view=True)
-        warehouse.spark.sql(f"CREATE OR REPLACE VIEW gold.{table} AS {sql}")
+        warehouse.spark.sql(f"CREATE OR REPLACE VIEW {warehouse.name('gold', table)} AS {sql}")

@@ -1,14 +1,16 @@
-"""Layer tables: namespaces, scans, overwriting loads."""
+"""Layer tables: namespaces, scans, loads that replace a table as a whole."""
 
 from __future__ import annotations
 
-import os
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from oreline.schemas import LAYERS, LOAD_STAMP, SOURCE_TABLES
+from oreline.session import remove_folder
 
 
 def stamped(df: DataFrame) -> DataFrame:
@@ -18,44 +20,101 @@ def stamped(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Warehouse:
-    """The tables ``<layer>.<table>`` of a session.
+    """The tables ``<prefix><layer>.<table>`` of a session.
 
     ``root`` puts the files under a folder of their own, so a later session can load over them;
-    without it they are managed tables in the session's warehouse folder.
+    without it they are managed tables in the session's warehouse folder. ``prefix`` keeps the layers
+    apart from those of others in the same catalog.
     """
 
     spark: SparkSession
     root: str | None = None
     file_format: str = "parquet"
+    prefix: str = ""
+
+    def schema(self, layer: str) -> str:
+        return f"{self.prefix}{layer}"
+
+    def name(self, layer: str, table: str) -> str:
+        return f"{self.schema(layer)}.{table}"
 
     def create_layers(self) -> None:
         for layer in LAYERS:
-            self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layer}")
+            self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {self.schema(layer)}")
+
+    def drop_layers(self) -> None:
+        """Remove the layers with their tables and views, and the files under ``root``."""
+        for layer in reversed(LAYERS):
+            self.spark.sql(f"DROP SCHEMA IF EXISTS {self.schema(layer)} CASCADE")
+        if self.root is not None:
+            remove_folder(self.spark, self.root)
 
     def list_layers(self) -> DataFrame:
         return self.spark.sql("SHOW SCHEMAS")
 
     def read(self, layer: str, table: str) -> DataFrame:
-        return self.spark.table(f"{layer}.{table}")
+        return self.spark.table(self.name(layer, table))
 
     def load(self, df: DataFrame, layer: str, table: str) -> int:
-        """Replace the table with ``df`` and return the rows written, counted during the write."""
+        """Replace the table with ``df`` and return the rows written, counted during the write.
+
+        The rows are written aside first; only then the catalog is pointed to them and the older
+        files go. A load that fails leaves the table as it was.
+        """
         if layer not in LAYERS:
             raise ValueError(f"unknown layer: {layer}")
         written = Observation(f"{layer}_{table}")
-        writer = (
-            df.observe(written, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite")
-            .format(self.file_format)
-        )
+        writer = df.observe(written, F.count(F.lit(1)).alias("rows")).write.format(self.file_format)
+        load = uuid.uuid4().hex
         if self.root is not None:
-            writer = writer.option("path", os.path.join(self.root, layer, table))
-        writer.saveAsTable(f"{layer}.{table}")
+            self._point(df, layer, table, writer, f"{self.root}/{layer}/{table}/{load}")
+        else:
+            staged = f"{self.name(layer, table)}__{load}"
+            try:
+                writer.saveAsTable(staged)
+            except Exception:
+                self.spark.sql(f"DROP TABLE IF EXISTS {staged}")
+                raise
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(layer, table)}")
+            self.spark.sql(f"ALTER TABLE {staged} RENAME TO {self.name(layer, table)}")
         return written.get["rows"]
 
+    def _point(self, df: DataFrame, layer: str, table: str, writer, folder: str) -> None:
+        """Write to ``folder`` and make it the table's only one."""
+        try:
+            writer.save(folder)
+        except Exception:
+            remove_folder(self.spark, folder)
+            raise
+        name, before = self.name(layer, table), self._location(layer, table)
+        if before and self.read(layer, table).schema == self.spark.read.format(
+            self.file_format
+        ).load(folder).schema:
+            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+        else:
+            # An external table: dropping it leaves its files, which go below.
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.spark.catalog.createTable(name, path=folder, source=self.file_format)
+        self.spark.catalog.refreshTable(name)
+        if before and before.rstrip("/").startswith(f"{self._uri()}/{layer}/{table}/"):
+            remove_folder(self.spark, before)
+
+    def _uri(self) -> str:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return system.makeQualified(path).toString()
+
+    def _location(self, layer: str, table: str) -> str | None:
+        """Where the files of an existing table are."""
+        if not self.spark.catalog.tableExists(self.name(layer, table)):
+            return None
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(layer, table)}")
+        found = rows.filter("col_name = 'Location'").select("data_type").collect()
+        return found[0][0] if found else None
+
     def make_room(self, layer: str, table: str, for_view: bool) -> None:
         """Remove a table that a view is to replace, or a view that a table is to replace."""
-        name = f"{layer}.{table}"
+        name = self.name(layer, table)
         if not self.spark.catalog.tableExists(name):
             return
         is_view = self.spark.catalog.getTable(name).tableType == "VIEW"
@@ -64,9 +123,13 @@ class Warehouse:
         elif for_view and not is_view:
             self.spark.sql(f"DROP TABLE {name}")
 
-    def preview(self, layer: str, table: str, order: str, rows: int = 10) -> DataFrame:
-        """The first rows in key order: a top-k, not a sort of the table."""
-        return self.read(layer, table).orderBy(F.col(order).asc_nulls_last()).limit(rows)
+    def preview(
+        self, layer: str, table: str, order: str | Sequence[str], rows: int = 10
+    ) -> DataFrame:
+        """The first rows in the order of one or several columns: a top-k, not a sort of the table."""
+        columns = [order] if isinstance(order, str) else order
+        keys = [F.col(c).asc_nulls_last() for c in columns]
+        return self.read(layer, table).orderBy(*keys).limit(rows)
 
     def bronze_tables(self) -> dict[str, DataFrame]:
         return {table: self.read("bronze", table) for table in SOURCE_TABLES}

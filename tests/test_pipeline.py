@@ -241,3 +241,34 @@ def test_empty_extracts(spark, tmp_path, loaded, landing, root):
     rows = pipeline.validate(Warehouse(spark)).collect()
     assert {r["violations"] for r in rows} == {0}
     assert pipeline.run_pipeline(spark, landing, root).rows["gold"] == GOLD
+
+
+def test_failed_load_keeps_the_old_rows(spark, tmp_path):
+    for root in (str(tmp_path / "tables"), None):
+        warehouse = Warehouse(spark, root, prefix="keep_")
+        warehouse.create_layers()
+        warehouse.load(spark.range(5).selectExpr("cast(id as string) as id"), "bronze", "kept")
+        failing = spark.range(3).selectExpr("if(id = 2, raise_error('broken row'), 'x') as id")
+        with pytest.raises(Exception, match="broken row"):
+            warehouse.load(failing, "bronze", "kept")
+        assert warehouse.read("bronze", "kept").count() == 5
+        tables = {t.name for t in spark.catalog.listTables("keep_bronze")}
+        assert tables == {"kept"}
+        # another schema, then the same one again: the table is replaced and only one folder remains
+        assert warehouse.load(spark.range(2).toDF("n"), "bronze", "kept") == 2
+        assert warehouse.load(spark.range(4).toDF("n"), "bronze", "kept") == 4
+        assert warehouse.read("bronze", "kept").columns == ["n"]
+        assert warehouse.read("bronze", "kept").count() == 4
+        if root:
+            assert len(os.listdir(f"{root}/bronze/kept")) == 1
+        warehouse.drop_layers()
+    assert not {"keep_bronze", "keep_gold"} & {row[0] for row in spark.sql("SHOW SCHEMAS").collect()}
+
+
+def test_queries_leave_the_tables_of_others_alone(spark, sf_dir, loaded):
+    import __spark_entry__ as entry_points
+
+    before = frame_bag(loaded[0].read("silver", "erp_px_cat_g1v2"))
+    for name in ("bronze_counts", "live_dim_products", "load_report"):
+        entry_points.queries()[name](spark, sf_dir).count()
+    assert frame_bag(loaded[0].read("silver", "erp_px_cat_g1v2")) == before
