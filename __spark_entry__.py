@@ -119,7 +119,7 @@ def _landed(table: str) -> Query:
         path = f"{run_folder(spark, 'query')}/{table}.csv"
         extract = EXTRACTS[table](spark, sf_dir)
         write_csv(extract, path)
-        return read_csv(spark, path, extract.columns)
+        return read_csv(spark, path, extract.columns, multi_line=False)
 
     return query
 
@@ -131,7 +131,7 @@ def _bronze_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for source in SOURCES:
         path = f"{folder}/{source.file}"
         write_csv(EXTRACTS[source.table](spark, sf_dir), path)
-        landed[source.table] = read_csv(spark, path, source.columns)
+        landed[source.table] = read_csv(spark, path, source.columns, multi_line=False)
         warehouse.load(landed[source.table], "bronze", source.table)
     return quality.load_counts(landed, warehouse.bronze_tables())
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from datetime import date
 from typing import Literal
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from oreline.plans import gold
@@ -17,7 +18,7 @@ from oreline.plans.silver import silver_builders
 from oreline.plans.views import create_gold_views
 from oreline.schemas import SOURCE_TABLES, SOURCES, Source
 from oreline.session import tune
-from oreline.sources.csv import read_csv
+from oreline.sources.csv import LINE_BREAK, read_csv
 from oreline.sources.tables import Warehouse, stamped
 
 # Tables of one layer do not depend on each other, so a small one need not wait for a large one.
@@ -37,17 +38,31 @@ def _together(tables: Iterable[str], load: Callable[[str], int]) -> dict[str, in
         return dict(zip(names, pool.map(load, names), strict=True))
 
 
-def read_extract(spark: SparkSession, landing: str, source: Source) -> DataFrame:
-    return read_csv(spark, os.path.join(landing, source.file), source.columns)
+def read_extract(
+    spark: SparkSession, landing: str, source: Source, multi_line: bool | None = None
+) -> DataFrame:
+    return read_csv(spark, os.path.join(landing, source.file), source.columns, multi_line)
 
 
 def load_bronze(warehouse: Warehouse, landing: str) -> dict[str, int]:
-    """Land the six extracts unchanged."""
+    """Land the six extracts unchanged.
+
+    Each is read once, line by line. Only where that meets a quoted line break, the load is done again, with
+    the files that have one read whole.
+    """
     sources = {source.table: source for source in SOURCES}
 
     def load(table: str) -> int:
-        extract = read_extract(warehouse.spark, landing, sources[table])
-        return warehouse.load(extract, "bronze", table)
+        def land(multi_line: bool | None) -> int:
+            extract = read_extract(warehouse.spark, landing, sources[table], multi_line)
+            return warehouse.load(extract, "bronze", table)
+
+        try:
+            return land(False)
+        except PySparkException as problem:
+            if LINE_BREAK not in str(problem):
+                raise
+            return land(None)
 
     return _together(sources, load)
 

@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MALFORMED = "_malformed_line"
 _QUOTED = r'"([^"]|"")*"'
+LINE_BREAK = "a quoted field spans lines"
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted field may span lines: some line then holds an odd number of quotes.
+def _open_quote(line: Column) -> Column:
+    """Whether a line holds an odd number of quotes, as one does where a quoted field goes on."""
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return quotes % 2 == 1
 
-    A scan of plain text lines that stops at the first hit.
-    """
-    lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+def files_with_line_breaks(spark: SparkSession, path: str) -> list[str]:
+    """The files in which a quoted field may span lines, from a scan of plain text lines."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path")
+    found = lines.filter(_open_quote(F.col("value"))).select("file_path").distinct()
+    return sorted(row[0] for row in found.collect())
+
+
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    return bool(files_with_line_breaks(spark, path))
 
 
 def read_csv(
@@ -30,41 +38,80 @@ def read_csv(
     """All columns of a headed CSV file (or folder of files) as text.
 
     Blanks and fields missing at the end of a row are ``""``, never null; ``NA`` stays text;
-    doubled quotes and quoted line breaks are understood. A row with more fields than the header
-    stops the load. ``columns`` must all be in the header, in any order.
+    doubled quotes are understood. A row with more fields than the header stops the load, and so does
+    a file with another header. A row that repeats the header is taken for one. ``columns`` must all
+    be in the header, in any order.
 
-    Spark reads a file with quoted line breaks as one task, so that mode is used only where such
-    line breaks occur (``multi_line=None`` looks); other files are split among executors. Deliver
-    large extracts that contain them as many files.
+    A file with line breaks inside quotes can only be read by one task. ``multi_line=False`` reads line by
+    line, in one pass and split among executors, and stops at an open quote (``LINE_BREAK``); ``True``
+    reads every file whole; ``None`` first looks which files need that and splits the others.
     """
-    if multi_line is None:
-        multi_line = has_quoted_newlines(spark, path)
-    reader = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("enforceSchema", False)
-    )
-    names = reader.csv(path).columns
+    names = spark.read.option("header", True).option("escape", '"').csv(path).columns
     missing = [c for c in columns if c not in names]
     if missing:
         raise ValueError(f"{path}: columns not in the header: {', '.join(missing)}")
+    if multi_line is None:
+        whole = files_with_line_breaks(spark, path)
+        lines = _by_line(spark, path, names, skip=whole)
+        return lines.unionByName(_by_file(spark, whole, path, names)) if whole else lines
+    return _by_file(spark, [path], path, names) if multi_line else _by_line(spark, path, names)
+
 
-    quoted = [f"`{c}` string" for c in names]
+def _schema(names: Sequence[str]) -> str:
+    return ", ".join([*[f"`{c}` string" for c in names], f"{_MALFORMED} string"])
+
+
+def _by_line(
+    spark: SparkSession, path: str, names: Sequence[str], skip: Sequence[str] = ()
+) -> DataFrame:
+    """The rows of the files but those in ``skip``, a row a line."""
+    raw = spark.read.text(path)
+    if skip:
+        raw = raw.select("value", "_metadata.file_path").filter(~F.col("file_path").isin(*skip))
+    options = {"escape": '"', "columnNameOfCorruptRecord": _MALFORMED}
+    raw = raw.filter(F.trim("value") != "")
+    rows = raw.select("value", F.from_csv("value", _schema(names), options).alias("row"))
+    cells = F.array(*[F.coalesce(F.col("row")[c], F.lit("")) for c in names])
+    header = F.array(*[F.lit(c) for c in names])
+    rows = rows.filter(cells != header)
+    trouble = F.when(
+        _open_quote(F.col("value")),
+        F.concat(F.lit(f"{path}: {LINE_BREAK}: "), F.col("value")),
+    ).when(
+        F.sort_array(cells) == F.sort_array(header),
+        F.concat(F.lit(f"{path}: a header does not conform: "), F.col("value")),
+    )
+    return _rows(rows.select("row.*", trouble.alias("_trouble")), path, names)
+
+
+def _by_file(
+    spark: SparkSession, files: Sequence[str], path: str, names: Sequence[str]
+) -> DataFrame:
+    """The rows of ``files``, each read by one task."""
     rows = (
-        reader.option("columnNameOfCorruptRecord", _MALFORMED)
-        .schema(", ".join([*quoted, f"{_MALFORMED} string"]))
-        .csv(path)
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("multiLine", True)
+        .option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", _MALFORMED)
+        .schema(_schema(names))
+        .csv(list(files))
     )
+    return _rows(rows.withColumn("_trouble", F.lit(None).cast("string")), path, names)
+
+
+def _rows(parsed: DataFrame, path: str, names: Sequence[str]) -> DataFrame:
+    """Cells without nulls; rows in trouble, or with more fields than the header, raise an error."""
     # Only rows whose field count differs from the header carry their line; short ones are fine.
     unquoted = F.regexp_replace(_MALFORMED, _QUOTED, "")
     commas = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
     too_long = F.coalesce(commas >= len(names), F.lit(False))
     message = F.concat(F.lit(f"{path}: more fields than the header: "), F.col(_MALFORMED))
-    guarded = F.when(too_long, F.raise_error(message)).otherwise(
+    trouble = F.coalesce("_trouble", F.when(too_long, message))
+    guarded = F.when(trouble.isNotNull(), F.raise_error(trouble)).otherwise(
         F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))
     )
-    return rows.select(
+    return parsed.select(
         guarded.alias(names[0]),
         *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names[1:]],
     )

@@ -2,7 +2,13 @@ import pytest
 from helpers import frame_bag
 from pyspark.errors import PySparkException
 
-from oreline.sources.csv import has_quoted_newlines, read_csv, write_csv
+from oreline.sources.csv import (
+    LINE_BREAK,
+    files_with_line_breaks,
+    has_quoted_newlines,
+    read_csv,
+    write_csv,
+)
 from oreline.sources.samples import EXTRACTS
 
 
@@ -80,3 +86,36 @@ def test_awkward_texts_round_trip(spark, tmp_path):
     df = spark.createDataFrame(rows, "p string, q string")
     write_csv(df, str(tmp_path / "t"))
     assert frame_bag(read_csv(spark, str(tmp_path / "t"))) == frame_bag(df)
+
+
+def test_one_file_with_line_breaks_leaves_the_others_split(spark, tmp_path):
+    for i in range(9):
+        _file(tmp_path, f'a,b\n{i},x\n{i},"y,z"\n', f"{i}.csv")
+    _file(tmp_path, 'a,b\n9,"l1\nl2"\n', "9.csv")
+    path = str(tmp_path)
+    assert [f.rsplit("/", 1)[1] for f in files_with_line_breaks(spark, path)] == ["9.csv"]
+    df = read_csv(spark, path)
+    assert {tuple(r) for r in df.collect()} == {
+        *[(str(i), t) for i in range(9) for t in ("x", "y,z")], ("9", "l1\nl2"),
+    }
+    with pytest.raises(PySparkException, match=LINE_BREAK):
+        read_csv(spark, path, multi_line=False).collect()
+
+
+def test_a_load_reads_each_file_once(spark, tmp_path):
+    """The plan of the line-by-line mode has one scan, of text; a load with a break is done again."""
+    from oreline.plans.pipeline import load_bronze
+    from oreline.schemas import SOURCES
+    from oreline.sources.tables import Warehouse
+
+    for source in SOURCES:
+        text = ",".join(source.columns) + "\n" + ",".join("v" for _ in source.columns) + "\n"
+        _file(tmp_path, text, source.file)
+    _file(tmp_path, 'cid,cntry\nAW-1,"two\nlines"\n', "LOC_A101.csv")
+    plan = read_csv(spark, str(tmp_path / "CUST_AZ12.csv"), multi_line=False)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    warehouse = Warehouse(spark, str(tmp_path / "tables"), prefix="csv_")
+    warehouse.create_layers()
+    assert load_bronze(warehouse, str(tmp_path)) == {s.table: 1 for s in SOURCES}
+    assert warehouse.read("bronze", "erp_loc_a101").first()["cntry"] == "two\nlines"
+    warehouse.drop_layers()
