@@ -1,8 +1,9 @@
 """The star schema as live views: always current with Silver, computed when read.
 
-A view cannot checkpoint, so its surrogate keys are numbered by buckets of an order-preserving key
-prefix: rows in smaller buckets plus the position within the bucket. The prefix length is measured
-when the view is created; any length gives the same keys, it only sets how large a bucket gets.
+A view cannot store anything, so its surrogate keys are numbered by buckets: rows in smaller buckets plus the
+position within the bucket. Buckets are bounded by keys of the full sort order, taken when the view is
+created where a range shuffle would cut it, so they are even however the keys look; any bounds give the same keys.
+Equal rows are one row with a count until they have their keys, so repeated keys do not fill a bucket.
 """
 
 from __future__ import annotations
@@ -15,26 +16,33 @@ from oreline.schemas import GOLD_CONTRACT
 from oreline.sources.tables import Warehouse
 
 BUCKET_ROWS = 1_000_000
+MOST_BUCKETS = 4096  # also the rows of the one window that is not partitioned
 GOLD = ("dim_customers", "dim_products", "fact_sales")
 
 
-def prefix_length(df: DataFrame, key: str, by: list[str], bucket_rows: int = BUCKET_ROWS) -> int:
-    """Shortest prefix of ``key`` whose largest bucket, within equal ``by``, has at most
-    ``bucket_rows`` rows; the whole key if there is none. Each probe is one aggregate."""
+def _key(order: list[str]) -> str:
+    """A struct that sorts like ``order`` with missing values last."""
+    return f"struct({', '.join(f'{c} IS NULL, {c}' for c in order)})"
 
-    def largest(n: int) -> int:
-        sizes = df.groupBy(*by, F.substring(key, 1, n)).count()
-        return sizes.agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
 
-    high = df.agg(F.coalesce(F.max(F.length(key)), F.lit(0)).alias("n")).first()["n"]
-    low = 0
-    while low < high:
-        middle = (low + high) // 2
-        if largest(middle) <= bucket_rows:
-            high = middle
-        else:
-            low = middle + 1
-    return low
+def bounds(df: DataFrame, order: list[str], bucket_rows: int = BUCKET_ROWS) -> list[str]:
+    """SQL literals of keys that cut ``df`` into buckets of about ``bucket_rows`` rows, ascending."""
+    buckets = min(MOST_BUCKETS, -(-df.count() // bucket_rows))
+    if buckets <= 1:
+        return []
+    keys = df.select(*order)
+    cut = keys.repartitionByRange(buckets, *[F.col(c).asc_nulls_last() for c in order])
+    first = cut.groupBy(F.spark_partition_id()).agg(F.min(F.expr(_key(order))).alias("first"))
+    kinds = [keys.schema[c].dataType.simpleString() for c in order]
+
+    def literal(key) -> str:
+        cells = []
+        for kind, value in zip(kinds, list(key)[1::2], strict=True):
+            text = "NULL" if value is None else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+            cells.append(f"{str(value is None).lower()}, CAST({text} AS {kind})")
+        return f"struct({', '.join(cells)})"
+
+    return [literal(row["first"]) for row in first.orderBy("first").collect()[1:]]
 
 
 def _typed(table: str, skip: str) -> str:
@@ -42,65 +50,71 @@ def _typed(table: str, skip: str) -> str:
     return ", ".join(f"{fitted(f.name, f.dataType)} AS {f.name}" for f in fields)
 
 
-def _numbered(rows: str, table: str, key: str, bucket: list[str], order: list[str]) -> str:
-    """SELECT of ``table`` over the query ``rows`` with dense keys, numbered by bucket."""
-    names = [f"b{i}" for i in range(len(bucket))]
-    buckets = ", ".join(f"{b} AS {n}" for b, n in zip(bucket, names, strict=True))
-    listed = ", ".join(names)
-    ascending = ", ".join(f"{n} ASC NULLS LAST" for n in names)
-    same = " AND ".join(f"r.{n} <=> o.{n}" for n in names)
-    per_bucket = ", ".join(f"r.{n}" for n in names)
+def _numbered(parts: str, table: str, key: str, order: list[str], cuts: list[str]) -> str:
+    """SELECT of ``table`` with dense keys over ``joined``, the last of the common tables ``parts``."""
+    bucket = f"size(filter(array({', '.join(cuts)}), c -> c <= {_key(order)}))" if cuts else "0"
     sort = ", ".join(f"{c} ASC NULLS LAST" for c in order)
     return f"""
-WITH joined AS ({rows}),
-bucketed AS (SELECT *, {buckets} FROM joined),
-sizes AS (SELECT {listed}, count(*) AS n FROM bucketed GROUP BY {listed}),
+WITH {parts},
+bucketed AS (SELECT *, {bucket} AS bucket FROM joined),
+sizes AS (SELECT bucket, sum(copies) AS n FROM bucketed GROUP BY bucket),
 offsets AS (
-  SELECT {listed}, coalesce(sum(n) OVER (
-    ORDER BY {ascending} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT bucket, coalesce(sum(n) OVER (
+    ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sizes),
 numbered AS (
-  SELECT r.*, o.before + row_number() OVER (PARTITION BY {per_bucket} ORDER BY {sort}) AS position
-  FROM bucketed r JOIN offsets o ON {same})
-SELECT CAST(position AS BIGINT) AS {key}, {_typed(table, key)} FROM numbered"""
-
-
-def _customers_sql(prefix: int, silver: str) -> str:
-    rows = f"""
+  SELECT r.*, o.before + coalesce(sum(copies) OVER (PARTITION BY r.bucket ORDER BY {sort}
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM bucketed r JOIN offsets o ON r.bucket = o.bucket),
+repeated AS (SELECT *, explode(sequence(1L, copies)) AS copy FROM numbered)
+SELECT CAST(first + copy AS BIGINT) AS {key}, {_typed(table, key)} FROM repeated"""
+
+
+CUSTOMER_ORDER = [f.name for f in GOLD_CONTRACT["dim_customers"].fields if f.name != "customer_key"]
+PRODUCT_ORDER = [
+    "start_date",
+    "product_number",
+    "product_id",
+    "product_name",
+    "category_id",
+    "cost",
+    "product_line",
+    "category",
+    "subcategory",
+    "maintenance",
+]
+
+
+def _customer_parts(silver: str) -> str:
+    return f"""
+people AS (
+  SELECT cid, bdate, gen, count(*) AS n FROM {silver}.erp_cust_az12 GROUP BY cid, bdate, gen),
+places AS (SELECT cid, cntry, count(*) AS n FROM {silver}.erp_loc_a101 GROUP BY cid, cntry),
+joined AS (
   SELECT c.cst_id AS customer_id, c.cst_key AS customer_number, c.cst_firstname AS first_name,
          c.cst_lastname AS last_name, l.cntry AS country, c.cst_marital_status AS marital_status,
          CASE WHEN c.cst_gndr <> 'n/a' THEN c.cst_gndr ELSE coalesce(d.gen, 'n/a') END AS gender,
-         d.bdate AS birthdate, c.cst_create_date AS create_date
+         d.bdate AS birthdate, c.cst_create_date AS create_date,
+         coalesce(d.n, 1) * coalesce(l.n, 1) AS copies
   FROM {silver}.crm_cust_info c
-  LEFT JOIN {silver}.erp_cust_az12 d ON c.cst_key = d.cid
-  LEFT JOIN {silver}.erp_loc_a101 l ON c.cst_key = l.cid"""
-    order = [f.name for f in GOLD_CONTRACT["dim_customers"].fields if f.name != "customer_key"]
-    bucket = [f"substring(customer_id, 1, {prefix})"]
-    return _numbered(rows, "dim_customers", "customer_key", bucket, order)
+  LEFT JOIN people d ON c.cst_key = d.cid
+  LEFT JOIN places l ON c.cst_key = l.cid)"""
 
 
-def _products_sql(prefix: int, silver: str) -> str:
-    rows = f"""
+def _product_parts(silver: str) -> str:
+    return f"""
+current AS (
+  SELECT prd_id, prd_key, prd_nm, cat_id, prd_cost, prd_line, prd_start_dt, count(*) AS n
+  FROM {silver}.crm_prd_info WHERE prd_end_dt IS NULL GROUP BY ALL),
+categories AS (
+  SELECT id, cat, subcat, maintenance, count(*) AS n FROM {silver}.erp_px_cat_g1v2
+  GROUP BY id, cat, subcat, maintenance),
+joined AS (
   SELECT p.prd_id AS product_id, p.prd_key AS product_number, p.prd_nm AS product_name,
          p.cat_id AS category_id, c.cat AS category, c.subcat AS subcategory, c.maintenance,
-         p.prd_cost AS cost, p.prd_line AS product_line, p.prd_start_dt AS start_date
-  FROM {silver}.crm_prd_info p
-  LEFT JOIN {silver}.erp_px_cat_g1v2 c ON p.cat_id = c.id
-  WHERE p.prd_end_dt IS NULL"""
-    order = [
-        "start_date",
-        "product_number",
-        "product_id",
-        "product_name",
-        "category_id",
-        "cost",
-        "product_line",
-        "category",
-        "subcategory",
-        "maintenance",
-    ]
-    bucket = ["start_date", f"substring(product_number, 1, {prefix})"]
-    return _numbered(rows, "dim_products", "product_key", bucket, order)
+         p.prd_cost AS cost, p.prd_line AS product_line, p.prd_start_dt AS start_date,
+         p.n * coalesce(c.n, 1) AS copies
+  FROM current p LEFT JOIN categories c ON p.cat_id = c.id)"""
 
 
 def _sales_sql(silver: str, gold: str) -> str:
@@ -122,14 +136,15 @@ def create_gold_views(
     """Define the Gold objects as views over Silver, in place of loaded tables."""
     silver = warehouse.schema("silver")
 
+    def dimension(parts: str, table: str, key: str, order: list[str]) -> str:
+        rows = warehouse.spark.sql(f"WITH {parts} SELECT * FROM joined")
+        return _numbered(parts, table, key, order, bounds(rows, order, bucket_rows))
+
     def customers() -> str:
-        rows = warehouse.read("silver", "crm_cust_info")
-        return _customers_sql(prefix_length(rows, "cst_id", [], bucket_rows), silver)
+        return dimension(_customer_parts(silver), "dim_customers", "customer_key", CUSTOMER_ORDER)
 
     def products() -> str:
-        rows = warehouse.read("silver", "crm_prd_info").filter(F.col("prd_end_dt").isNull())
-        length = prefix_length(rows, "prd_key", ["prd_start_dt"], bucket_rows)
-        return _products_sql(length, silver)
+        return dimension(_product_parts(silver), "dim_products", "product_key", PRODUCT_ORDER)
 
     def sales() -> str:
         return _sales_sql(silver, warehouse.schema("gold"))

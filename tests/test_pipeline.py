@@ -208,13 +208,44 @@ def test_view_mode(spark, landing, root, loaded):
     assert pipeline.run_pipeline(spark, landing, root).rows["gold"] == GOLD
 
 
-def test_prefix_length_is_measured(spark):
-    df = spark.createDataFrame([(f"AW{i:04d}",) for i in range(1000)], "k string")
-    assert views.prefix_length(df, "k", [], 1000) == 0
-    assert views.prefix_length(df, "k", [], 999) == 4
-    assert views.prefix_length(df, "k", [], 100) == 4
-    assert views.prefix_length(df, "k", [], 10) == 5
-    assert views.prefix_length(df, "k", [], 1) == 6
+def test_bounds_cut_evenly_whatever_the_keys(spark):
+    rows = [("x" * 40 + f"{i:05d}" if i % 4 else None, i % 7) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    assert views.bounds(df, ["k", "v"], 4000) == []
+    cuts = views.bounds(df, ["k", "v"], 500)
+    assert 5 <= len(cuts) <= 7
+    bucket = F.expr(f"size(filter(array({', '.join(cuts)}), c -> c <= {views._key(['k', 'v'])}))")
+    sizes = [r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()]
+    assert max(sizes) <= 1100
+    odd = spark.createDataFrame([("it's",), ("back\\slash",), ('"',), ("z",)], "k string")
+    cuts = views.bounds(odd, ["k"], 1)
+    assert odd.filter(F.expr(f"size(filter(array({', '.join(cuts)}), c -> c <= {views._key(['k'])})) >= 0")).count() == 4
+
+
+def test_views_number_a_crowd_of_equal_rows(spark, sf_dir, tmp_path):
+    """A third of the locations share a key, and the rows of one customer repeat."""
+    import __spark_entry__ as entry_points
+
+    layers = entry_points.Layers(spark, sf_dir)
+    warehouse = Warehouse(spark, str(tmp_path / "tables"), prefix="crowd_")
+    warehouse.create_layers()
+    for table in ("crm_cust_info", "erp_cust_az12", "crm_prd_info", "erp_px_cat_g1v2"):
+        warehouse.load(layers.silver[table], "silver", table)
+    places = layers.silver["erp_loc_a101"]
+    crowd = places.limit(1).crossJoin(spark.range(70)).drop("id")
+    warehouse.load(places.union(crowd), "silver", "erp_loc_a101")
+    views.create_gold_views(warehouse, 20, ("dim_customers", "dim_products"))
+    expected = gold.dim_customers(
+        {t: warehouse.read("silver", t) for t in ("crm_cust_info", "erp_cust_az12", "erp_loc_a101")}
+    )
+    got = warehouse.read("gold", "dim_customers")
+    assert frame_bag(got) == frame_bag(expected) and got.count() == 219
+    # Silver grows: the old bounds still give dense keys in order
+    warehouse.load(warehouse.read("silver", "crm_cust_info").withColumn("cst_id", F.concat("cst_id", F.lit("9"))).union(
+        warehouse.read("silver", "crm_cust_info")), "silver", "crm_cust_info")
+    keys = [r["customer_key"] for r in got.sparkSession.table(warehouse.name("gold", "dim_customers")).orderBy("customer_id", "customer_key").collect()]
+    assert keys == list(range(1, len(keys) + 1))
+    warehouse.drop_layers()
 
 
 def test_managed_tables(spark, landing):
