@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oreline.session import require_checkpoint_dir
+from oreline.session import remove_folder, run_folder
 
-# The six bytes between words, and everything else, as the contracts state them.
-SPACES = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
 FOLDS, HELD_OUT_FOLD = 4, 2
 
 _shipped: set[str] = set()
-_folders: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,23 +43,6 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(folder, True)
-
-
-@atexit.register
-def _remove_folders() -> None:
-    for spark, path in _folders:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
-
-
 class Scratch:
     """Tables written next to the checkpoints, so that no lost executor makes a step run again.
 
@@ -74,8 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{require_checkpoint_dir(spark)}/oreline-{name}-{uuid.uuid4().hex}"
-        _folders.append((spark, self.root))
+        self.root = run_folder(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -86,19 +62,31 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _remove(self.spark, self.path(name))
+            remove_folder(self.spark, self.path(name))
 
 
 def word_count(text: Column) -> Column:
-    """Number of words; null has none."""
+    """Number of words, runs of anything but blanks and the controls from tab to carriage return; null
+    has none."""
     spaced = F.trim(F.translate(text, "\t\n\x0b\f\r", "     "))
     parts = F.size(F.split(spaced, " +"))
     return F.when(text.isNull() | (spaced == ""), F.lit(0)).otherwise(parts).cast("long")
 
 
+def drawn(*key: Column | str) -> Column:
+    """A number from 0 to 2**63 drawn by hash; rows in its order are a sample."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 1)
+
+
+def among_first(wanted: int, total: int) -> int:
+    """A bound that the first ``wanted`` of ``total`` drawn numbers keep, and twice as many in all.
+
+    It keeps the rows that a sample is sorted out of as few as the sample, however many tasks there are.
+    """
+    return 2**63 - 1 if total <= 2 * wanted else int(2 * wanted / total * 2**63)
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], amount: str, out: str) -> DataFrame:
     """Sum of ``amount`` over the earlier rows of the group."""
-    from pyspark.sql import Window
-
     window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(out, F.coalesce(F.sum(amount).over(window), F.lit(0)))

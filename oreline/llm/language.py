@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oreline.llm.common import held_out, ship_package
+from oreline.llm.common import among_first, drawn, held_out, ship_package
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
@@ -122,7 +122,13 @@ def training_rows(docs: DataFrame) -> DataFrame:
     """The sample, as features: rows with text and language outside the held-out fold."""
     usable = docs.filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
-    ).select("lang", F.xxhash64("doc_id").alias("order"), "text")
+    ).select("lang", drawn("doc_id").alias("order"), "text")
+    sizes = dict(map(tuple, usable.groupBy("lang").count().collect()))  # a row a language
+    bounds = F.create_map(
+        *[F.lit(x) for lang, n in sizes.items() for x in (lang, among_first(SAMPLE_A_LANGUAGE, n))]
+    )
+    if sizes:
+        usable = usable.filter(F.col("order") <= bounds[F.col("lang")])
     first = Window.partitionBy("lang").orderBy("order")
     some = usable.withColumn("place", F.row_number().over(first)).filter(
         F.col("place") <= SAMPLE_A_LANGUAGE

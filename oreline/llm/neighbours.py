@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oreline.llm.common import Scratch, ship_package
+from oreline.llm.common import Scratch, among_first, drawn, ship_package
 
 SAMPLE = 16_384
 VECTORS_A_LIST = 256
@@ -256,8 +256,9 @@ def nearest(
     asked = asked.join(entries.alias("e"), F.col("q.vector") == F.col("e.vector"))
     asked = scratch.keep(asked.select(F.col("q.vec_id").alias("query_id"), "rep"), "asked")
 
-    sample = entries.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vector").toArrow()["vector"]
     count = entries.count()
+    some = entries.withColumn("order", drawn("rep")).filter(F.col("order") <= among_first(SAMPLE, count))
+    sample = some.orderBy("order", "rep").limit(SAMPLE).select("vector").toArrow()["vector"]
     lists = 1
     while lists * VECTORS_A_LIST < count and lists < min(MOST_LISTS, len(sample) // 4):
         lists *= 2

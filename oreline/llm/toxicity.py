@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oreline.llm.common import Scratch, held_out, ship_package
+from oreline.llm.common import Scratch, among_first, drawn, held_out, ship_package
 from oreline.llm.tokens import words
 
 WORD_BUCKETS = 1 << 21
@@ -204,10 +204,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def calibrate(model: Model, docs: DataFrame, marks: DataFrame) -> None:
     """Fit the curve to a sample of labelled documents, weighted as the classes are in all of them."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("_id"))
-    sample = marks.withColumn("place", F.row_number().over(order))
+    sizes = dict(map(tuple, marks.groupBy("label").count().collect()))
+    bound = F.lit(0)
+    for label, size in sizes.items():
+        bound = F.when(F.col("label") == label, among_first(SAMPLE_A_CLASS, size)).otherwise(bound)
+    some = marks.withColumn("order", drawn("_id")).filter(F.col("order") <= bound)
+    first = Window.partitionBy("label").orderBy("order", "_id")
+    sample = some.withColumn("place", F.row_number().over(first))
     sample = sample.filter(F.col("place") <= SAMPLE_A_CLASS).select("_id", "label")
-    sizes = dict(marks.groupBy("label").count().collect())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
