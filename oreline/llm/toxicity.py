@@ -13,7 +13,7 @@ counts are those expected at that size, so both classes hold the same mass. A ra
 both share: not having been seen in the smaller class tells next to nothing. A text's evidence is the
 difference of the two log-likelihoods over its number of words. Of each word's log-ratio ``MARGIN`` is
 taken off towards 0: languages and subjects are not equally frequent in the two classes, which shifts all
-their words a little, while toxic expressions differ by large factors. A logistic curve turns evidence into a score;
+their words a little, while toxic expressions differ by large factors. A logistic curve over its root turns evidence into a score;
 it is fitted to labelled documents whose own counts are left out of the models.
 
 Words and stems are counted by hash in tables of fixed size (``WORD_BUCKETS``, ``STEM_BUCKETS``), which bounds
@@ -144,7 +144,12 @@ class Model:
         return sums / np.maximum(1, np.diff(bounds))
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * bent(evidence) + self.offset, -50, 50)))
+
+
+def bent(evidence: np.ndarray) -> np.ndarray:
+    """Evidence on the scale of the curve: few toxic words are told from none, many from more do not matter."""
+    return np.sign(evidence) * np.sqrt(np.abs(evidence))
 
 
 def _marks(labels: DataFrame) -> DataFrame:
@@ -234,7 +239,7 @@ def calibrate(model: Model, docs: DataFrame, marks: DataFrame) -> None:
         return
     weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
     weight /= weight.sum()
-    at = np.stack([x, np.ones_like(x)], axis=1)
+    at = np.stack([bent(x), np.ones_like(x)], axis=1)
     beta = np.array([0.0, np.log((weight * y).sum() / (weight * (1 - y)).sum())])
     for _ in range(100):  # Newton's steps on the slightly penalised likelihood
         p = 1 / (1 + np.exp(-np.clip(at @ beta, -50, 50)))
