@@ -5,7 +5,7 @@
 * Index: every vector enters the list of its nearest centroid and, near a boundary, those of other
   centroids at most ``REPLICA_RATIO`` times as far, unless a chosen centroid is nearer to that one than the vector is.
 * Search: a query takes all lists whose centroid is at most ``SEARCH_RATIO`` times as far as the nearest
-  one, however many those are. Lists and their queries meet in blocks of bounded size and are compared exactly.
+  one, however many those are, and further ones while these hold too few entries for a full answer. Lists and their queries meet in blocks of bounded size and are compared exactly.
 
 Centroids are searched in a proximity graph held in memory, by all vectors of a batch at once.
 
@@ -90,16 +90,22 @@ class Lists:
             around = np.r_[self.graph, np.full((1, self.graph.shape[1]), lists)]
             fresh = around[expand].reshape(n, -1)
 
-    def within(self, x: np.ndarray, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def within(
+        self, x: np.ndarray, ratio: float, sizes: np.ndarray | None = None, least: int = 0
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each row, the centroids at most ``ratio`` times as far as the nearest; all that the graph finds.
 
-        A row whose last centroid found is still that near is searched again more widely.
+        With the ``sizes`` of the lists, further ones are added until those before hold ``least`` entries. A
+        row whose last centroid found is still wanted is searched again more widely.
         """
         out: list = [None] * len(x)
         open_rows, width = np.arange(len(x)), BEAM
         while len(open_rows):
             found, far = self.search(x[open_rows], width)
             near = far <= ratio * far[:, :1] + 1e-9
+            if sizes is not None:
+                own = np.r_[sizes, 0][found]
+                near |= (np.cumsum(own, axis=1) - own < least) & (found < len(self.centroids))
             more = near[:, -1] & (width < len(self.centroids))
             for i in np.flatnonzero(~more):
                 out[open_rows[i]] = (found[i][near[i]], far[i][near[i]])
@@ -152,8 +158,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _posting(shared, ratio: float, replicate: bool):
-    """(rep, vector) -> (list, rep): the lists that an entry is kept in, or that a query takes."""
+def _posting(shared, ratio: float, sizes: np.ndarray | None = None, least: int = 0):
+    """(rep, vector) -> (list, rep, vector): the lists that an entry is kept in or, given the ``sizes`` of
+    the lists, those that a query takes."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Lists = shared.value
@@ -162,7 +169,7 @@ def _posting(shared, ratio: float, replicate: bool):
                 part = batch.slice(first, 1024)
                 x = _unit(_matrix(part.column(1)))
                 lists, rows = [], []
-                if replicate:
+                if sizes is None:
                     found, far = index.search(x, BEAM)
                     found, far = found[:, : 2 * REPLICAS], far[:, : 2 * REPLICAS]
                     kept = np.zeros(found.shape, bool)
@@ -176,7 +183,7 @@ def _posting(shared, ratio: float, replicate: bool):
                     at = np.nonzero(kept)
                     rows, lists = at[0], found[at]
                 else:
-                    for i, (own, _) in enumerate(index.within(x, ratio)):
+                    for i, (own, _) in enumerate(index.within(x, ratio, sizes, least)):
                         lists.append(own)
                         rows.append(np.full(len(own), i))
                     rows, lists = np.concatenate(rows), np.concatenate(lists)
@@ -266,9 +273,14 @@ def nearest(
     kind = entries.schema["vector"].dataType.simpleString()
     shape = f"list int, rep long, vector {kind}"
     plain = entries.select("rep", "vector")
-    posts = scratch.keep(plain.mapInArrow(_posting(shared, replica_ratio, True), shape), "posts")
+    posts = scratch.keep(plain.mapInArrow(_posting(shared, replica_ratio), shape), "posts")
+    sizes = np.zeros(lists, np.int64)
+    for row in posts.groupBy("list").count().collect():  # MOST_LISTS rows at most
+        sizes[row["list"]] = row["count"]
+    # An entry is in REPLICAS lists at most, so this many postings hold k + 1 entries.
+    take = _posting(shared, search_ratio, sizes, (k + 1) * REPLICAS)
     wanted = plain.join(asked.select("rep").distinct(), "rep", "left_semi")
-    probes = scratch.keep(wanted.mapInArrow(_posting(shared, search_ratio, False), shape), "probes")
+    probes = scratch.keep(wanted.mapInArrow(take, shape), "probes")
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:  # MOST_LISTS rows at most
         count = df.groupBy("list").count()

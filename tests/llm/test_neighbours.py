@@ -40,6 +40,13 @@ def test_graph_search_finds_nearly_all_nearest():
     assert hits > 0.97 * wanted
 
 
+def test_small_lists_are_topped_up():
+    lists = neighbours.fit(np.eye(64), 64)
+    sizes = np.full(64, 2)
+    for own, _ in lists.within(np.eye(64)[:5], 1.0, sizes, least=24):
+        assert len(own) == 12
+
+
 def test_odd_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 120)]
