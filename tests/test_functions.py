@@ -53,6 +53,16 @@ def test_dates(spark):
     assert [m and m.date() for m in moments] == days
 
 
+def test_dates_in_declared_formats(spark):
+    values = ["2024-01-05", "05/01/2024", "20240107", "15-Jan-2024", "01/15/2024", "x", " ", None]
+    formats = ("iso", "dd/MM/yyyy", "yyyyMMdd", "dd-MMM-yyyy")
+    days = [date(2024, 1, 5), date(2024, 1, 5), date(2024, 1, 7), date(2024, 1, 15), None, None, None, None]
+    assert column(spark, values, lambda c: parsing.parse_date(c, formats)) == days
+    lost = [False, False, False, False, True, True, False, False]
+    assert column(spark, values, lambda c: parsing.unreadable_date(c, formats)) == lost
+    assert column(spark, values, parsing.unreadable_date)[1] is True
+
+
 def test_numbers(spark):
     values = [
         "12", " 12 ", "\t7\n", "-3.5", "+5", ".5", "5.", "1e5", "0", "-0",
