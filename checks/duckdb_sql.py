@@ -7,10 +7,10 @@ EXTRACTS = {
     "crm_cust_info": """
 select case when c_custkey % 97 = 96 then '' else cast(11000+c_custkey as string) end as cst_id,
  'AW' || lpad(cast(11000+c_custkey as string),8,'0') as cst_key,
- '  ' || c_mktsegment || ' ' as cst_firstname, c_name || '  ' as cst_lastname,
+ case when c_custkey % 7 = 3 then chr(9) || chr(160) else '  ' end || c_mktsegment || ' ' as cst_firstname, c_name || '  ' as cst_lastname,
  case c_custkey % 5 when 0 then 'S' when 1 then ' m' when 2 then 'M ' when 3 then 's' else '' end as cst_marital_status,
- case c_custkey % 4 when 0 then 'M' when 1 then 'f ' when 2 then ' F' else '' end as cst_gndr,
- '2025-' || lpad(cast(1+(c_custkey+3*v) % 12 as string),2,'0') || '-' || lpad(cast(1+c_custkey % 28 as string),2,'0') as cst_create_date
+ case (c_custkey + case when c_custkey % 25 = 5 then v else 0 end) % 4 when 0 then 'M' when 1 then 'f ' when 2 then ' F' else '' end as cst_gndr,
+ '2025-' || lpad(cast(1+(c_custkey+case when c_custkey % 25 = 5 then 0 else 3*v end) % 12 as string),2,'0') || '-' || lpad(cast(1+c_custkey % 28 as string),2,'0') as cst_create_date
  from customer cross join (select 0 as v union all select 1 as v) vv where v = 0 or c_custkey % 5 = 0
 """,
     "crm_prd_info": """
@@ -55,7 +55,8 @@ select distinct substr(p_type,1,2) || '_B' || cast(p_size % 10 as string) as id,
 
 SILVER = {
     "crm_cust_info": """
-select cst_id, cst_key, trim(cst_firstname) as cst_firstname, trim(cst_lastname) as cst_lastname,
+select cst_id, cst_key, trim(cst_firstname, ' ' || chr(9) || chr(160)) as cst_firstname,
+ trim(cst_lastname) as cst_lastname,
  case upper(trim(cst_marital_status)) when 'S' then 'Single' when 'M' then 'Married'
   else 'n/a' end as cst_marital_status,
  case upper(trim(cst_gndr)) when 'M' then 'Male' when 'F' then 'Female' else 'n/a' end as cst_gndr,

@@ -34,11 +34,13 @@ def crm_cust_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.where("v = 0 or c_custkey % 5 = 0").selectExpr(
         f"case when c_custkey % 97 = 96 then '' else {_CUSTOMER_ID} end as cst_id",
         f"'AW' || {_PADDED_ID} as cst_key",
-        "'  ' || c_mktsegment || ' ' as cst_firstname",
+        "if(c_custkey % 7 = 3, char(9) || char(160), '  ') || c_mktsegment || ' ' as cst_firstname",
         "c_name || '  ' as cst_lastname",
         "get(array('S', ' m', 'M ', 's', ''), cast(c_custkey % 5 as int)) as cst_marital_status",
-        "get(array('M', 'f ', ' F', ''), cast(c_custkey % 4 as int)) as cst_gndr",
-        "'2025-' || lpad(cast(1 + (c_custkey + 3 * v) % 12 as string), 2, '0') || '-'"
+        # Every fifth changed customer has both events on one day, with different genders.
+        "get(array('M', 'f ', ' F', ''), cast((c_custkey + if(c_custkey % 25 = 5, v, 0)) % 4 as int))"
+        " as cst_gndr",
+        "'2025-' || lpad(cast(1 + (c_custkey + if(c_custkey % 25 = 5, 0, 3 * v)) % 12 as string), 2, '0') || '-'"
         " || lpad(cast(1 + c_custkey % 28 as string), 2, '0') as cst_create_date",
     )
 
