@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 # Split skewed join partitions also where that costs one more shuffle further up, for example
@@ -70,7 +71,7 @@ def at_end(spark: SparkSession, action: Callable[[], object]) -> None:
 
     def run() -> None:
         if spark.sparkContext._jsc is not None:
-            with contextlib.suppress(Py4JError, OSError):
+            with contextlib.suppress(Py4JError, PySparkException, OSError):
                 action()
 
     atexit.register(run)
