@@ -55,6 +55,13 @@ def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few documents, which bounds what the words of a piece take."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 512):
+            yield batch.slice(first, 512)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> (word, stem), each pair once a task, or once a piece if a task has very many."""
     held: list[np.ndarray] = []
@@ -65,10 +72,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(c.astype(np.int32)) for c in columns], names=["word", "stem"]
         )
 
-    for batch in batches:
-        for first in range(0, batch.num_rows, 512):
-            word, stem, _ = _buckets(batch.column(0).slice(first, 512))
-            held.append(np.unique((word << STEM_BITS) | stem))
+    for part in _parts(batches):
+        word, stem, _ = _buckets(part.column(0))
+        held.append(np.unique((word << STEM_BITS) | stem))
         if sum(map(len, held)) > 1 << 21:
             held = [np.unique(np.concatenate(held))]
             if len(held[0]) > 1 << 20:
@@ -90,7 +96,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (doc_id, words): the different words of each text, packed."""
-    for batch in batches:
+    for batch in _parts(batches):
         word, _, bounds = _buckets(batch.column(1))
         rows = [_pack(np.unique(word[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "words"])
@@ -220,7 +226,7 @@ def calibrate(model: Model, docs: DataFrame, marks: DataFrame) -> None:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             label = batch.column(0).to_numpy()
             word, stem, bounds = _buckets(batch.column(1))
             found = shared.value.evidence(word, stem, bounds, label)
@@ -265,7 +271,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = spark.sparkContext.broadcast(model)  # of the size of the tables
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             word, stem, bounds = _buckets(batch.column(2))
             found = shared.value.evidence(word, stem, bounds)
             scores = shared.value.score(found)
