@@ -35,6 +35,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_licences": op2_licences,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_classes": op3_line_classes,
     "op4_neighbours": op4_neighbours,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
