@@ -11,6 +11,8 @@
 4. A candidate's longest common subsequence with the passage decides: ``COPY`` of its words or more is a copy;
    from ``PARAPHRASE`` on it is a paraphrase if the answer occurs too: the rarest words of the passage's
    last sentence, or of the whole passage where that sentence is short.
+5. In addition, passages of up to ``SHORT_WORDS`` words are searched word by word, as they are too small a part of
+   their windows for a cosine to tell: wherever their words stand one after another is a copy.
 
 Windows never leave their task; only partial sums are shuffled. What is broadcast is the projection (a fixed
 size) and the benchmark's words, whose number is checked.
@@ -245,10 +247,41 @@ def _subsequences(regions: np.ndarray, passage: np.ndarray, places: np.ndarray)
     return np.bitwise_count(~state)
 
 
+def _starts(hashes: np.ndarray) -> np.ndarray:
+    """A hash of the ``LEAST_WORDS`` words from each word on."""
+    count = max(0, len(hashes) - LEAST_WORDS + 1)
+    out = np.zeros(count, np.uint64)
+    for step in range(LEAST_WORDS):
+        out = mixed(out + hashes[step : step + count])
+    return out
+
+
+class Verbatim:
+    """Passages of up to ``SHORT_WORDS`` words, by the hash of their first words, for exact search."""
+
+    def __init__(self, bench: Benchmark) -> None:
+        short = np.flatnonzero(bench.sizes <= SHORT_WORDS)
+        first = np.array([_starts(bench.hashes[p][:LEAST_WORDS])[0] for p in short], np.uint64)
+        order = np.argsort(first, kind="stable")
+        self.bench, self.passages, self.first = bench, short[order], first[order]
+
+    def find(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, passage, first word) of every passage whose words stand in a text one after another."""
+        starts = _starts(hashes)
+        for at in np.flatnonzero(np.isin(starts, self.first)):
+            row = int(np.searchsorted(bounds, at, side="right")) - 1
+            same = slice(*(int(np.searchsorted(self.first, starts[at], side=s)) for s in ("left", "right")))
+            for passage in self.passages[same]:
+                last = at + self.bench.sizes[passage]
+                if last <= bounds[row + 1] and np.array_equal(hashes[at:last], self.bench.hashes[passage]):
+                    yield row, int(passage), int(at)
+
+
 def _search(shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection, bench = shared.value
         latent = bench.latent(projection)
+        verbatim = Verbatim(bench)
         short = bench.sizes <= SHORT_WORDS
         groups = []
         for blocks, chosen in ((SHORT, np.flatnonzero(short)), (LONG, np.flatnonzero(~short))):
@@ -288,6 +321,12 @@ def _search(shared):
                         key = (row, bench.items[passage])
                         found = (share, answer, float(similarity), -int(at - bounds[row]))
                         best[key] = max(best.get(key, found), found)
+                for row, passage, at in verbatim.find(hashes, bounds):
+                    key = (row, bench.items[passage])
+                    if key not in best or best[key][0] < 1:
+                        around = projection[ids[at : at + bench.sizes[passage]]].sum(axis=0)
+                        cosine = float(latent[passage] @ around / max(float(np.linalg.norm(around)), 1e-12))
+                        best[key] = (1.0, 1.0, cosine, -int(at - bounds[row]))
                 ids_of = part.column(0)
                 out += [(ids_of[int(r)].as_py(), i, *v) for (r, i), v in sorted(best.items(), key=lambda x: (x[0][0], repr(x[0][1])))]
             columns = list(zip(*out, strict=True)) or [[]] * 6

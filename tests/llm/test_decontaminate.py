@@ -126,6 +126,31 @@ def test_odd_rows(spark):
     assert decontaminate.without_contamination(frame, bench.filter("item_id = 99")).count() == len(docs)
 
 
+def test_short_verbatim_items_of_frequent_words(spark):
+    rng = random.Random(6)
+    rare = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(4000)]
+    items = ["What is the sum of two and two?", "is it of the", "the sum of all that is in the end of it"]
+    frequent = "what is the sum of two and it all that in end".split()
+    write = lambda n: [rng.choice(frequent) if rng.random() < 0.2 else rng.choice(rare) for _ in range(n)]
+    docs, planted = [], set()
+    for i in range(300):
+        text = write(rng.randint(60, 300))
+        if i % 5 == 0:
+            item, at = i // 5 % 3, rng.randrange(len(text) + 1)
+            text[at:at] = [items[item].upper()]
+            planted.add((i, item))
+        docs.append((i, " ".join(text)))
+    # an item split between two texts is in neither
+    docs += [(1000, " ".join(write(60) + ["what is the sum"])), (1001, "of two and two " + " ".join(write(60)))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate.contaminated(frame, bench).collect()
+    assert planted <= {(r.doc_id, r.item_id) for r in rows if r.lcs_share == 1.0}
+    assert planted_pairs(frame.collect(), bench.collect()) == planted
+    assert not {1000, 1001} & {r.doc_id for r in rows}
+    assert not {r.doc_id for r in decontaminate.without_contamination(frame, bench).collect()} & {d for d, _ in planted}
+
+
 def test_subsequences_at_once_equal_one_by_one():
     rng = np.random.default_rng(4)
     window = rng.integers(0, 9, (50, 40))
