@@ -35,7 +35,7 @@ REPLICAS = 4
 REPLICA_RATIO = 1.1
 SEARCH_RATIO = 1.22
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 4096
-SPARE = 24  # candidates of a block that are scored again one by one
+ROUNDING = 1e-9  # more than the products of unit vectors can be off
 
 
 def takes_part(vector: Column) -> Column:
@@ -204,15 +204,17 @@ def _compare(k: int):
         if len(a) and len(b):
             reps, asked = entries["rep"].to_numpy(), queries["rep"].to_numpy()
             ua, ub = _unit(a), _unit(b)
-            most = min(len(b), k + SPARE)
+            most = min(len(b), k)
             for first in range(0, len(a), 512):
                 close = ua[first : first + 512] @ ub.T
-                at = np.argpartition(-close, most - 1, axis=1)[:, :most]
-                exact = cosine(a[first : first + 512][:, None], b[at])
-                order = np.lexsort((reps[at], -exact), axis=1)[:, :k]
-                out_e.append(np.take_along_axis(reps[at], order, axis=1).ravel())
-                out_s.append(np.take_along_axis(exact, order, axis=1).ravel())
-                out_q.append(np.repeat(asked[first : first + 512], order.shape[1]))
+                least = np.partition(close, len(b) - most, axis=1)[:, len(b) - most]
+                for row, line in enumerate(close >= least[:, None] - ROUNDING):
+                    at = np.flatnonzero(line)  # all that may tie with the last one
+                    exact = np.concatenate([cosine(a[first + row], b[at[i : i + 1024]]) for i in range(0, len(at), 1024)])
+                    order = np.lexsort((reps[at], -exact))[:k]
+                    out_e.append(reps[at[order]])
+                    out_s.append(exact[order])
+                    out_q.append(np.full(len(order), asked[first + row]))
         joined = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((out_q, "i8"), (out_e, "i8"), (out_s, "f8"))]
         return pa.table(dict(zip(("query", "rep", "score"), map(pa.array, joined), strict=True)))
 

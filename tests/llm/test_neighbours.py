@@ -79,3 +79,15 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch, sf_dir):
     monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 40)
     monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 3)
     assert sorted(map(tuple, op4_neighbours(spark, sf_dir).collect())) == whole
+
+
+def test_many_ties_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=8)
+    order = rng.permutation(300)
+    rows = [(int(i), [float(v) for v in base * 2.0 ** (int(j) % 200 - 100)]) for i, j in enumerate(order)]
+    rows += [(300 + i, [float(v) for v in rng.choice([-1.0, 1.0], 4).repeat(2)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame).toPandas().sort_values(["query_id", "rank"])
+    expected = neighbours.brute_force(frame.toPandas())
+    assert got.vec_id.tolist() == expected.vec_id.tolist()
