@@ -341,14 +341,18 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
 
     A text that loses all its lines is empty. Rows without an id stay as they are.
     """
-    gone = classes(docs).filter("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.collect_set("line_no").alias("_gone")
+    gone = classes(docs).filter("not kept").groupBy(F.col("doc_id").alias("id")).agg(
+        F.collect_set("line_no").alias("gone")
     )
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left")
+    # A row travels as one struct, so no column of it can clash with those made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(gone, F.col("row.doc_id") == F.col("id"), "left")
+    none = F.array().cast("array<int>")
     kept = F.filter(
-        F.split("text", "\n"), lambda line, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i + 1)
+        F.split("row.text", "\n"), lambda line, i: ~F.array_contains(F.coalesce("gone", none), i + 1)
     )
-    return joined.withColumn("text", F.array_join(kept, "\n")).drop("_doc", "_gone")
+    texts = {"text": F.array_join(kept, "\n")}
+    return joined.select(*[texts.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = """

@@ -237,30 +237,34 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     def numbered(df: DataFrame, order: str) -> DataFrame:
         same = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumn("_number", F.row_number().over(same))
+        return df.withColumn("number", F.row_number().over(same))
 
-    # Rows alike in id, source and size are told apart by a number; their places in the stream are equal in kind.
-    marked = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in columns])
-    marked = marked.select(
-        "*", F.col("_doc_id").alias("doc_id"), F.col("_source").alias("source"), word_count(F.col("_text")).alias("size")
+    # A row travels as one struct, so no column of it can clash with those made here. Rows alike in id,
+    # source and size are told apart by a number; their places in the stream are equal in kind.
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
+        "doc_id",
+        "source",
+        word_count(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("order"),
     )
-    marked = numbered(marked.filter("size > 0").withColumn("_order", F.xxhash64("_text")), "_order")
+    marked = numbered(marked.filter("size > 0"), "order")
     plan = numbered(documents.filter("taken > 0"), "start").select(
-        *[F.col(c).alias(f"p_{c}") for c in keys], F.col("_number").alias("p_number"), "taken"
+        *[F.col(c).alias(f"p_{c}") for c in keys], F.col("number").alias("p_number"), "taken"
     )
-    match = F.col("_number") == F.col("p_number")
+    match = F.col("number") == F.col("p_number")
     for key in keys:
         match = match & F.col(key).eqNullSafe(F.col(f"p_{key}"))
     joined = marked.join(plan, match)
-    spaced = F.trim(F.translate("_text", "\t\n\x0b\f\r", "     "))
+    spaced = F.trim(F.translate("row.text", "\t\n\x0b\f\r", "     "))
     rest = (F.col("taken") % F.col("size")).cast("int")
     part = F.array_join(F.slice(F.split(spaced, " +"), F.lit(1), rest), " ")
-    whole = F.array_repeat("_text", F.expr("taken div size").cast("int"))
+    whole = F.array_repeat("row.text", F.expr("taken div size").cast("int"))
     texts = F.when(rest > 0, F.concat(whole, F.array(part))).otherwise(whole)
-    cut = joined.select(*[f"_{c}" for c in columns if c != "text"], F.explode(texts).alias("_text"))
+    cut = joined.select("row", F.explode(texts).alias("text"))
     kinds = dict(docs.dtypes)
-    made = {"n_chars": F.length("_text").cast(kinds.get("n_chars", "long"))}
-    return cut.select(*[made.get(c, F.col(f"`_{c}`")).alias(c) for c in columns])
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast(kinds.get("n_chars", "long"))}
+    return cut.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
 
 
 ORACLE = f"""

@@ -288,13 +288,13 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
         ),
         "first",
     )
-    chosen = docs.join(
-        first, docs["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(docs["text"]) == first["_hash"])
+    # A row travels as one struct, so no column of it can clash with those made here.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        "doc_id",
+        F.xxhash64("text").alias("hash"),
     )
+    chosen = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
     place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_copies"))
     copies = chosen.filter("_copies > 1").withColumn("_place", place).filter("_place = 1")
-    return (
-        chosen.filter("_copies = 1")
-        .unionByName(copies.drop("_place"))
-        .drop("_id", "_hash", "_copies")
-    )
+    return chosen.filter("_copies = 1").unionByName(copies.drop("_place")).select("row.*")

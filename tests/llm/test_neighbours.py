@@ -3,15 +3,23 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from oreline.llm import neighbours
 from oreline.llm.queries import op4_neighbours
 
 
-@pytest.mark.parametrize("folder", ["sf0.1", "check_s"])
-def test_recall(spark, folder):
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1", "made"])
+def test_recall(spark, folder, tmp_path):
     path = f"/root/testdata/{folder}"
+    if folder == "made":  # clusters of vectors, more than one task has
+        rng = np.random.default_rng(5)
+        centres = rng.normal(size=(200, 32))
+        made = centres[rng.integers(200, size=20_000)] + rng.normal(size=(20_000, 32))
+        path = str(tmp_path)
+        frame = pd.DataFrame({"vec_id": range(len(made)), "embedding": list(made)})
+        frame.to_parquet(f"{path}/embeddings.parquet")
     rows = spark.read.parquet(f"{path}/embeddings.parquet").toPandas()
     expected = neighbours.brute_force(rows)
     got = op4_neighbours(spark, path).toPandas()
