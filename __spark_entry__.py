@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import sys
 import uuid
-from importlib.util import find_spec
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
@@ -27,14 +26,15 @@ from oreline.sources.csv import read_csv, write_csv  # noqa: E402
 from oreline.sources.samples import EXTRACTS  # noqa: E402
 from oreline.sources.tables import Warehouse, stamped  # noqa: E402
 
-# The operators on training data are optional: everything else works without their folder.
-if find_spec("oreline.llm") and find_spec("oreline.llm.queries"):
+# The operators on training data are optional: everything else works without their folder
+# and without the packages that only they need.
+try:
     from oreline.llm import queries as llm_queries
-else:
+except ImportError:
     llm_queries = None
-if llm_queries and find_spec("corpus_pipeline"):
+try:
     import corpus_pipeline
-else:
+except ImportError:
     corpus_pipeline = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
