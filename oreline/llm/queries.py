@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.llm import decontaminate, language, licences, lines, mixing, neighbours, periodic, sharding, simhash, toxicity, warc
+from oreline.llm import (
+    decontaminate,
+    hard_negatives,
+    language,
+    licences,
+    lines,
+    mixing,
+    neighbours,
+    periodic,
+    sharding,
+    simhash,
+    toxicity,
+    warc,
+)
 from oreline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +81,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.prepared(table(spark, sf_dir, "embeddings")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
     return periodic.digest(periodic.find_runs(docs))
@@ -85,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -94,4 +112,5 @@ ORACLES: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op9_sharding": sharding.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
