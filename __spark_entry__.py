@@ -124,6 +124,20 @@ def _landed(table: str) -> Query:
     return query
 
 
+def _line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with line breaks, quotes and commas in a field, written as CSV and read back by ranges."""
+    path = f"{run_folder(spark, 'query')}/line_breaks.csv"
+    extract = EXTRACTS["crm_cust_info"](spark, sf_dir).withColumn(
+        "cst_lastname",
+        F.expr(
+            "case when cst_key like '%3' then concat(cst_lastname, char(10), '\"', cst_firstname, '\"')"
+            " when cst_key like '%7' then concat(char(10), char(10), cst_lastname, ',') else cst_lastname end"
+        ),
+    )
+    write_csv(extract, path)
+    return read_csv(spark, path, extract.columns)
+
+
 def _bronze_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the landed CSV files against rows of the Bronze tables loaded from them."""
     warehouse, folder = _own_warehouse(spark), run_folder(spark, "query")
@@ -257,6 +271,7 @@ def queries() -> dict[str, Query]:
     return {
         "bronze_counts": _bronze_counts,
         **{f"bronze_{short[t]}": _landed(t) for t in cleansed.values()},
+        "bronze_line_breaks": _line_breaks,
         **{q: _bronze_table(t, profiling.PROFILES[t]) for q, t in profiles.items()},
         **{q: _bronze_table(t, builders[t]) for q, t in cleansed.items()},
         "parsed_sales": _bronze_table("crm_sales_details", _parsed_sales),

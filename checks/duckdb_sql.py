@@ -409,6 +409,11 @@ from b_crm_sales_details
 
 ORACLES: dict[str, str] = {
     "bronze_counts": with_inputs(BRONZE_COUNTS),
+    "bronze_line_breaks": f"""
+select * replace (case when cst_key like '%3' then cst_lastname || chr(10) || '"' || cst_firstname || '"'
+ when cst_key like '%7' then chr(10) || chr(10) || cst_lastname || ',' else cst_lastname end as cst_lastname)
+from ({EXTRACTS["crm_cust_info"]})
+""",
     "bronze_crm_cust": EXTRACTS["crm_cust_info"],
     "bronze_crm_prd": EXTRACTS["crm_prd_info"],
     "bronze_crm_sales": EXTRACTS["crm_sales_details"],

@@ -1,12 +1,14 @@
 import pytest
 from helpers import frame_bag
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from oreline.sources.csv import (
     LINE_BREAK,
     files_with_line_breaks,
     has_quoted_newlines,
     read_csv,
+    records,
     write_csv,
 )
 from oreline.sources.samples import EXTRACTS
@@ -119,3 +121,66 @@ def test_a_load_reads_each_file_once(spark, tmp_path):
     assert load_bronze(warehouse, str(tmp_path)) == {s.table: 1 for s in SOURCES}
     assert warehouse.read("bronze", "erp_loc_a101").first()["cntry"] == "two\nlines"
     warehouse.drop_layers()
+
+
+def _small_ranges(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+
+
+@pytest.fixture
+def ranges(spark):
+    yield lambda size: _small_ranges(spark, size)
+    for name in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_a_file_with_line_breaks_is_read_by_many_tasks(spark, tmp_path, ranges, end):
+    lines = ["id,note,rest"]
+    for i in range(3000):
+        kind = i % 7
+        note = {0: f'"l{i}{end}l2"', 1: f'"say ""x{i}"""', 2: f'"{end}{end}a,b"', 3: f"plain {i}", 4: '""'}.get(kind, "NA")
+        lines.append(f"{i},{note},end{i}")
+    lines.append(f'3001,"{f"deep{end}" * 2000}",z')  # one field over several ranges
+    lines.append("3002,after,z")
+    path = _file(tmp_path, end.join(lines) + end)
+    ranges(4096)
+    found = records(spark, [path])
+    assert found.count() == 3003
+    scan = spark.read.text(path).select(F.spark_partition_id().alias("p"))
+    assert scan.distinct().count() > 10
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "multiLine" not in text and "Python" not in text
+    split, whole = read_csv(spark, path), read_csv(spark, path, multi_line=True)
+    assert frame_bag(split) == frame_bag(whole)
+    assert split.count() == 3002
+
+
+def test_every_size_of_range_gives_the_same_rows(spark, tmp_path, ranges):
+    text = 'a,b\n1,"x\n\ny"\n"","\n"\n\n"3 ""q""\n",4\n5,6\n7,"last\n"'
+    path = _file(tmp_path, text)
+    whole = frame_bag(read_csv(spark, path, multi_line=True))
+    for size in range(1, len(text) + 2, 9):
+        ranges(size)
+        assert frame_bag(read_csv(spark, path)) == whole, size
+
+
+def test_quotes_in_unquoted_fields_are_read_whole(spark, tmp_path, ranges):
+    ranges(16)
+    path = _file(tmp_path, 'a,b\n1,5" pipe\n2,"x\ny"\n3,z\n')
+    assert {tuple(r) for r in read_csv(spark, path).collect()} == {("1", '5" pipe'), ("2", "x\ny"), ("3", "z")}
+    _file(tmp_path, 'a,b\n8,"p\nq"\n9,r\n', "y.csv")
+    rows = {tuple(r) for r in read_csv(spark, str(tmp_path)).collect()}
+    assert {("8", "p\nq"), ("9", "r"), ("1", '5" pipe')} <= rows and len(rows) == 5
+
+
+def test_errors_of_rows_read_by_ranges(spark, tmp_path):
+    path = _file(tmp_path, 'a,b\n1,"x\ny",3\n')
+    with pytest.raises(PySparkException, match="more fields than the header"):
+        read_csv(spark, path).collect()
+    _file(tmp_path, 'a,b\n1,"x\ny"\n', "x.csv")
+    _file(tmp_path, 'b,a\n1,"x\ny"\n', "z.csv")
+    with pytest.raises(PySparkException, match="header does not conform"):
+        read_csv(spark, str(tmp_path)).collect()
