@@ -19,7 +19,7 @@ from oreline.functions import codes, parsing, text  # noqa: E402
 from oreline.operators.keys import dense_key  # noqa: E402
 from oreline.operators.latest import latest_per_key  # noqa: E402
 from oreline.operators.lookup import orphan_rows  # noqa: E402
-from oreline.plans import gold, profiling, quality, reports, silver, views  # noqa: E402
+from oreline.plans import gold, pipeline, profiling, quality, reports, silver, views  # noqa: E402
 from oreline.schemas import GOLD_CONTRACT, LOAD_STAMP, SOURCES  # noqa: E402
 from oreline.session import at_end, run_folder, tune  # noqa: E402
 from oreline.sources.csv import read_csv, write_csv  # noqa: E402
@@ -141,13 +141,10 @@ def _line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bronze_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the landed CSV files against rows of the Bronze tables loaded from them."""
     warehouse, folder = _own_warehouse(spark), run_folder(spark, "query")
-    landed = {}
     for source in SOURCES:
-        path = f"{folder}/{source.file}"
-        write_csv(EXTRACTS[source.table](spark, sf_dir), path)
-        landed[source.table] = read_csv(spark, path, source.columns, multi_line=False)
-        warehouse.load(landed[source.table], "bronze", source.table)
-    return quality.load_counts(landed, warehouse.bronze_tables())
+        write_csv(EXTRACTS[source.table](spark, sf_dir), f"{folder}/{source.file}")
+    pipeline.load_bronze(warehouse, folder)
+    return pipeline.reconcile(warehouse)
 
 
 def _live(table: str, inputs: tuple[str, ...]) -> Query:

@@ -198,15 +198,19 @@ def missing_keys(fact: DataFrame) -> DataFrame:
     return _rules(fact, {"missing_surrogate_key": count_if(missing)}, _all_rows())
 
 
-def load_counts(sources: dict[str, DataFrame], loaded: dict[str, DataFrame]) -> DataFrame:
+def load_counts(sources: dict[str, DataFrame | int], loaded: dict[str, DataFrame]) -> DataFrame:
     """Rows per table at the source and after the load: (``table``, ``source_rows``,
-    ``loaded_rows``, ``difference``)."""
+    ``loaded_rows``, ``difference``). A source is a table to be counted, or the rows counted when it was read."""
 
-    def counted(tables: dict[str, DataFrame], side: str) -> DataFrame:
+    spark = next(iter(loaded.values())).sparkSession
+
+    def counted(tables: dict[str, DataFrame | int], side: str) -> DataFrame:
         parts = [
-            df.agg(F.count(F.lit(1)).alias(side)).select(F.lit(name).alias("table"), side)
+            (df.agg(F.count(F.lit(1)).alias(side)) if isinstance(df, DataFrame)
+             else spark.range(1).select(F.lit(df).cast("long").alias(side)))
+            .select(F.lit(name).alias("table"), side)
             for name, df in tables.items()
-        ]
+        ]
         return reduce(DataFrame.unionByName, parts)
 
     both = counted(sources, "source_rows").join(counted(loaded, "loaded_rows"), "table", "full")

@@ -84,10 +84,13 @@ def test_surrogate_keys_are_dense(loaded):
 
 
 def test_reconcile(loaded, landing):
-    rows = pipeline.reconcile(loaded[0], landing).collect()
-    assert {r["table"]: (r["source_rows"], r["loaded_rows"], r["difference"]) for r in rows} == {
-        table: (n, n, 0) for table, n in BRONZE.items()
-    }
+    for folder in (None, landing):
+        rows = pipeline.reconcile(loaded[0], folder).collect()
+        assert {r["table"]: (r["source_rows"], r["loaded_rows"], r["difference"]) for r in rows} == {
+            table: (n, n, 0) for table, n in BRONZE.items()
+        }
+    plan = pipeline.reconcile(loaded[0])._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "csv" not in plan.lower()
 
 
 def test_profiles(loaded):
@@ -290,8 +293,10 @@ def test_failed_load_keeps_the_old_rows(spark, tmp_path):
         assert warehouse.load(spark.range(4).toDF("n"), "bronze", "kept") == 4
         assert warehouse.read("bronze", "kept").columns == ["n"]
         assert warehouse.read("bronze", "kept").count() == 4
+        versions = warehouse.journal("bronze", "kept")
+        assert len(versions.complete()) == 3 and versions.unfinished() == []
         if root:
-            assert len(os.listdir(f"{root}/bronze/kept")) == 1
+            assert sorted(os.listdir(f"{root}/bronze/kept")) == sorted([*versions.complete(), "_staged", "_committed"])
         warehouse.drop_layers()
     assert not {"keep_bronze", "keep_gold"} & {row[0] for row in spark.sql("SHOW SCHEMAS").collect()}
 
@@ -303,3 +308,65 @@ def test_queries_leave_the_tables_of_others_alone(spark, sf_dir, loaded):
     for name in ("bronze_counts", "live_dim_products", "load_report"):
         entry_points.queries()[name](spark, sf_dir).count()
     assert frame_bag(loaded[0].read("silver", "erp_px_cat_g1v2")) == before
+
+
+class Killed(Exception):
+    """The driver is gone."""
+
+
+@pytest.mark.parametrize("step", ["createTable", "refreshTable"])
+@pytest.mark.parametrize("with_root", [True, False])
+def test_a_load_killed_between_two_catalog_steps_is_completed(spark, tmp_path, monkeypatch, step, with_root):
+    root = str(tmp_path / "tables") if with_root else None
+    warehouse = Warehouse(spark, root, prefix="kill_")
+    warehouse.create_layers()
+    warehouse.load(spark.range(5).toDF("a"), "silver", "t")
+
+    def killed(*args, **kwargs):
+        raise Killed
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(spark.catalog), step, killed)
+        with pytest.raises(Killed):
+            warehouse.load(spark.range(7).toDF("b"), "silver", "t")
+    again = Warehouse(spark, root, prefix="kill_")
+    again.create_layers()
+    assert again.read("silver", "t").columns == ["b"] and again.read("silver", "t").count() == 7
+    assert again.loaded_rows("silver", "t") == 7
+    assert again.recover() == {}
+    warehouse.drop_layers()
+
+
+def test_a_load_killed_while_it_writes_is_rolled_back(spark, tmp_path, monkeypatch):
+    warehouse = Warehouse(spark, str(tmp_path / "tables"), prefix="half_")
+    warehouse.create_layers()
+    warehouse.load(spark.range(5).toDF("a"), "silver", "t")
+
+    def killed(*args, **kwargs):
+        raise Killed
+
+    with monkeypatch.context() as patch:
+        patch.setattr("oreline.sources.journal.Journal.commit", killed)
+        with pytest.raises(Killed):
+            warehouse.load(spark.range(7).toDF("b"), "silver", "t")
+    assert len(os.listdir(tmp_path / "tables/silver/t")) == 4  # two versions
+    assert Warehouse(spark, str(tmp_path / "tables"), prefix="half_").recover() == {"half_silver.t": "rolled back"}
+    assert len(os.listdir(tmp_path / "tables/silver/t")) == 3
+    assert warehouse.read("silver", "t").count() == 5 and warehouse.read("silver", "t").columns == ["a"]
+    # a catalog that has lost the table gets it back from the files
+    spark.sql("DROP TABLE half_silver.t")
+    assert warehouse.recover() == {"half_silver.t": "attached"}
+    assert warehouse.read("silver", "t").count() == 5
+    warehouse.drop_layers()
+
+
+def test_frames_opened_before_a_reload_still_read_their_rows(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "tables"), prefix="read_", keep=2)
+    warehouse.create_layers()
+    frames = []
+    for n in range(1, 6):
+        warehouse.load(spark.range(n).toDF("a"), "gold", "t")
+        frames.append(warehouse.read("gold", "t"))
+        assert [f.count() for f in frames[-3:]] == list(range(max(1, n - 2), n + 1))
+    assert len(warehouse.journal("gold", "t").complete()) == 3
+    warehouse.drop_layers()
