@@ -300,6 +300,7 @@ def queries() -> dict[str, Query]:
         ),
         "dq_row_reconcile": _layered(lambda x: quality.row_reconcile(x.sales(), x.fact())),
         "dq_missing_keys": _layered(lambda x: quality.missing_keys(x.fact())),
+        "dq_gold_amount": _layered(lambda x: quality.gold_amount(x.fact())),
         "dq_report": _layered(lambda x: quality.quality_report(x.silver, x.fact())),
         "sales_by_country": _layered(_sales_by_country),
         "profile_report": _layered(lambda x: profiling.profile_all(x.bronze)),

@@ -270,6 +270,11 @@ MISSING_KEYS = _rule(
     _count_where("customer_key is null or product_key is null"),
     "g_fact_sales",
 )
+GOLD_AMOUNT = _rule(
+    "gold_amount_mismatch",
+    _count_where("coalesce(sales_amount <> quantity * price, true)"),
+    "g_fact_sales",
+)
 
 
 _PLACES = {
@@ -279,6 +284,7 @@ _PLACES = {
     "unapproved_value": ("silver", "all coded columns"),
     "fact_rows_differ": ("gold", "fact_sales"),
     "missing_surrogate_key": ("gold", "fact_sales"),
+    "gold_amount_mismatch": ("gold", "fact_sales"),
 }
 
 
@@ -297,6 +303,7 @@ _ALL_RULES = "\nunion all ".join(
         ORPHAN_PRODUCTS,
         RECONCILE,
         MISSING_KEYS,
+        GOLD_AMOUNT,
     ]
 )
 QUALITY_REPORT = (
@@ -470,6 +477,7 @@ from ({EXTRACTS["crm_cust_info"]})
     "dq_orphan_products": with_inputs(ORPHAN_PRODUCTS),
     "dq_row_reconcile": with_inputs(RECONCILE),
     "dq_missing_keys": with_inputs(MISSING_KEYS),
+    "dq_gold_amount": with_inputs(GOLD_AMOUNT),
     "dq_report": with_inputs(QUALITY_REPORT),
     "sales_by_country": with_inputs(SALES_BY_COUNTRY),
     "preview_dim_customers": with_inputs(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest lookup, as measured, that is copied to every executor.
+# Most bytes of lookups, as measured, that one plan copies to every executor.
 BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD = 64
 
@@ -28,14 +28,19 @@ def measured_bytes(*tables: DataFrame) -> list[int]:
 
 
 def broadcast_if_small(*tables: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """Mark those of ``tables`` for broadcast whose measured size is within ``limit``.
+    """Mark those of ``tables`` for broadcast that fit into ``limit`` together, the smallest first, as measured.
 
     Beyond it the join stays a shuffle join, whose skewed partitions are split at run time. The
     check matters for a fact table: left to run time alone, the large side would be shuffled
     before the small one is known to be small.
     """
-    sizes = measured_bytes(*tables)
-    return [F.broadcast(df) if n <= limit else df for df, n in zip(tables, sizes, strict=True)]
+    sizes, left, small = measured_bytes(*tables), limit, set()
+    for position in sorted(range(len(tables)), key=sizes.__getitem__):
+        if sizes[position] > left:
+            break
+        left -= sizes[position]
+        small.add(position)
+    return [F.broadcast(df) if i in small else df for i, df in enumerate(tables)]
 
 
 def orphan_rows(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from oreline.plans import gold
 from oreline.plans.quality import load_counts, quality_report, require_no_difference
 from oreline.plans.silver import silver_builders
-from oreline.plans.views import create_gold_views
+from oreline.plans.views import create_gold_views, drop_bounds, refresh_bounds
 from oreline.schemas import SOURCE_TABLES, SOURCES, Source
 from oreline.session import tune
 from oreline.sources.csv import LINE_BREAK, read_csv
@@ -74,7 +74,9 @@ def load_silver(warehouse: Warehouse, as_of: date | None = None) -> dict[str, in
         cleansed = builders[table](warehouse.read("bronze", table))
         return warehouse.load(stamped(cleansed), "silver", table)
 
-    return _together(SOURCE_TABLES, load)
+    rows = _together(SOURCE_TABLES, load)
+    refresh_bounds(warehouse)
+    return rows
 
 
 def load_gold(warehouse: Warehouse) -> dict[str, int]:
@@ -91,6 +93,7 @@ def load_gold(warehouse: Warehouse) -> dict[str, int]:
         warehouse.read("gold", "dim_products"),
         warehouse.read("gold", "dim_customers"),
     )
+    drop_bounds(warehouse)
     return {**rows, "fact_sales": warehouse.load(fact, "gold", "fact_sales")}
 
 

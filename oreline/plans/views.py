@@ -1,14 +1,16 @@
 """The star schema as live views: always current with Silver, computed when read.
 
 A view cannot store anything, so its surrogate keys are numbered by buckets: rows in smaller buckets plus the
-position within the bucket. Buckets are bounded by keys of the full sort order, taken when the view is
-created where a range shuffle would cut it, so they are even however the keys look; any bounds give the same keys.
+position within the bucket. Buckets are bounded by keys of the full sort order, taken where a range shuffle would cut the rows, so they
+are even however the keys look; any bounds give the same keys. The bounds are a small table beside the view, in groups: a row is
+compared with the first bound of each group, then with those of its own group, about twice the root of their number.
+Every load of Silver takes them anew (``refresh_bounds``), so buckets stay even while Silver grows.
 Equal rows are one row with a count until they have their keys, so repeated keys do not fill a bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreline.operators.conform import fitted
@@ -16,8 +18,10 @@ from oreline.schemas import GOLD_CONTRACT
 from oreline.sources.tables import Warehouse
 
 BUCKET_ROWS = 1_000_000
-MOST_BUCKETS = 4096  # also the rows of the one window that is not partitioned
+MOST_BUCKETS = 65_536  # also the rows of the one window that is not partitioned
 GOLD = ("dim_customers", "dim_products", "fact_sales")
+_ROWS_PROPERTY = "oreline.bucket_rows"
+_GROUP_STEP = 1_000_000  # more than the bounds of a group
 
 
 def _key(order: list[str]) -> str:
@@ -25,24 +29,41 @@ def _key(order: list[str]) -> str:
     return f"struct({', '.join(f'{c} IS NULL, {c}' for c in order)})"
 
 
-def bounds(df: DataFrame, order: list[str], bucket_rows: int = BUCKET_ROWS) -> list[str]:
-    """SQL literals of keys that cut ``df`` into buckets of about ``bucket_rows`` rows, ascending."""
-    buckets = min(MOST_BUCKETS, -(-df.count() // bucket_rows))
-    if buckets <= 1:
-        return []
+def bounds(df: DataFrame, order: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Keys that cut ``df`` into buckets of about ``bucket_rows`` rows, in groups of ascending ones: (``grp``,
+    ``first``, ``keys``). ``MOST_BUCKETS`` keys at most."""
+    buckets = max(1, min(MOST_BUCKETS, -(-df.count() // bucket_rows)))
     keys = df.select(*order)
     cut = keys.repartitionByRange(buckets, *[F.col(c).asc_nulls_last() for c in order])
-    first = cut.groupBy(F.spark_partition_id()).agg(F.min(F.expr(_key(order))).alias("first"))
-    kinds = [keys.schema[c].dataType.simpleString() for c in order]
-
-    def literal(key) -> str:
-        cells = []
-        for kind, value in zip(kinds, list(key)[1::2], strict=True):
-            text = "NULL" if value is None else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
-            cells.append(f"{str(value is None).lower()}, CAST({text} AS {kind})")
-        return f"struct({', '.join(cells)})"
-
-    return [literal(row["first"]) for row in first.orderBy("first").collect()[1:]]
+    first = cut.groupBy(F.spark_partition_id()).agg(F.min(F.expr(_key(order))).alias("key"))
+    place = F.row_number().over(Window.orderBy("key")) - 2  # the smallest bounds nothing
+    width = max(1, round(buckets**0.5))
+    grouped = first.withColumn("place", place).filter("place >= 0")
+    grouped = grouped.groupBy(F.expr(f"place div {width}").alias("grp")).agg(
+        F.min("key").alias("first"), F.array_sort(F.collect_list("key")).alias("keys")
+    )
+    return grouped
+
+
+def bounds_table(table: str) -> str:
+    return f"{table}__bounds"
+
+
+def bucket_sql(rows: str, cuts: str, order: list[str]) -> str:
+    """Common tables that end in ``bucketed``: the rows of the common table ``rows`` with their ``bucket``, a number that ascends with the
+    bounds in the table ``cuts``."""
+    # Subqueries may not stand inside calls with lambdas, so each is a column first. These columns and the group are used
+    # once and thus inlined: the bounds are read when the query begins, and no row carries them.
+    key = _key(order)
+    return f"""
+bounded AS (
+  SELECT *, (SELECT transform(array_sort(collect_list(struct(grp, first))), x -> x.first) FROM {cuts}) AS firsts,
+         (SELECT transform(array_sort(collect_list(struct(grp, keys))), x -> x.keys) FROM {cuts}) AS groups
+  FROM {rows}),
+bucketed AS (
+  SELECT * EXCEPT (firsts, groups), transform(array(size(filter(firsts, c -> c <= {key}))), g ->
+    CASE WHEN g = 0 THEN 0L ELSE g * {_GROUP_STEP}L + size(filter(get(groups, g - 1), c -> c <= {key})) END)[0] AS bucket
+  FROM bounded)"""
 
 
 def _typed(table: str, skip: str) -> str:
@@ -50,13 +71,11 @@ def _typed(table: str, skip: str) -> str:
     return ", ".join(f"{fitted(f.name, f.dataType)} AS {f.name}" for f in fields)
 
 
-def _numbered(parts: str, table: str, key: str, order: list[str], cuts: list[str]) -> str:
+def _numbered(parts: str, table: str, key: str, order: list[str], cuts: str) -> str:
     """SELECT of ``table`` with dense keys over ``joined``, the last of the common tables ``parts``."""
-    bucket = f"size(filter(array({', '.join(cuts)}), c -> c <= {_key(order)}))" if cuts else "0"
     sort = ", ".join(f"{c} ASC NULLS LAST" for c in order)
     return f"""
-WITH {parts},
-bucketed AS (SELECT *, {bucket} AS bucket FROM joined),
+WITH {parts},{bucket_sql("joined", cuts, order)},
 sizes AS (SELECT bucket, sum(copies) AS n FROM bucketed GROUP BY bucket),
 offsets AS (
   SELECT bucket, coalesce(sum(n) OVER (
@@ -128,29 +147,53 @@ def _sales_sql(silver: str, gold: str) -> str:
     return f"SELECT {_typed('fact_sales', '')} FROM ({rows})"
 
 
+DIMENSIONS = {
+    "dim_customers": (_customer_parts, "customer_key", CUSTOMER_ORDER),
+    "dim_products": (_product_parts, "product_key", PRODUCT_ORDER),
+}
+
+
+def _load_bounds(warehouse: Warehouse, table: str, bucket_rows: int) -> None:
+    parts, _, order = DIMENSIONS[table]
+    rows = warehouse.spark.sql(f"WITH {parts(warehouse.schema('silver'))} SELECT * FROM joined")
+    warehouse.load(bounds(rows, order, bucket_rows), "gold", bounds_table(table))
+
+
 def create_gold_views(
     warehouse: Warehouse,
     bucket_rows: int = BUCKET_ROWS,
     only: tuple[str, ...] = GOLD,
 ) -> None:
     """Define the Gold objects as views over Silver, in place of loaded tables."""
-    silver = warehouse.schema("silver")
-
-    def dimension(parts: str, table: str, key: str, order: list[str]) -> str:
-        rows = warehouse.spark.sql(f"WITH {parts} SELECT * FROM joined")
-        return _numbered(parts, table, key, order, bounds(rows, order, bucket_rows))
-
-    def customers() -> str:
-        return dimension(_customer_parts(silver), "dim_customers", "customer_key", CUSTOMER_ORDER)
-
-    def products() -> str:
-        return dimension(_product_parts(silver), "dim_products", "product_key", PRODUCT_ORDER)
-
-    def sales() -> str:
-        return _sales_sql(silver, warehouse.schema("gold"))
-
-    builders = {"dim_customers": customers, "dim_products": products, "fact_sales": sales}
+    silver, gold = warehouse.schema("silver"), warehouse.schema("gold")
     for table in only:
-        sql = builders[table]()
+        if table in DIMENSIONS:
+            _load_bounds(warehouse, table, bucket_rows)
+            parts, key, order = DIMENSIONS[table]
+            cuts = warehouse.name("gold", bounds_table(table))
+            sql = _numbered(parts(silver), table, key, order, cuts)
+        else:
+            sql = _sales_sql(silver, gold)
         warehouse.make_room("gold", table, for_view=True)
-        warehouse.spark.sql(f"CREATE OR REPLACE VIEW {warehouse.name('gold', table)} AS {sql}")
+        warehouse.spark.sql(
+            f"CREATE OR REPLACE VIEW {warehouse.name('gold', table)}"
+            f" TBLPROPERTIES ('{_ROWS_PROPERTY}' = '{bucket_rows}') AS {sql}"
+        )
+
+
+def refresh_bounds(warehouse: Warehouse) -> list[str]:
+    """Take the bounds of the dimensions that are views anew, as Silver is now; returns their names."""
+    catalog, done = warehouse.spark.catalog, []
+    for table in DIMENSIONS:
+        name = warehouse.name("gold", table)
+        if catalog.tableExists(name) and catalog.getTable(name).tableType == "VIEW":
+            rows = warehouse.spark.sql(f"SHOW TBLPROPERTIES {name} ('{_ROWS_PROPERTY}')").first()["value"]
+            _load_bounds(warehouse, table, int(rows))
+            done.append(table)
+    return done
+
+
+def drop_bounds(warehouse: Warehouse) -> None:
+    """Remove the bounds of views that tables have replaced."""
+    for table in DIMENSIONS:
+        warehouse.drop("gold", bounds_table(table))

@@ -159,7 +159,12 @@ class Warehouse:
         if is_view and not for_view:
             self.spark.sql(f"DROP VIEW {name}")
         elif for_view and not is_view:
-            self.spark.sql(f"DROP TABLE {name}")
+            self.drop(layer, table)
+
+    def drop(self, layer: str, table: str) -> None:
+        """Remove a table with all its versions."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(layer, table)}")
+        remove_folder(self.spark, self.journal(layer, table).folder)
 
     def preview(
         self, layer: str, table: str, order: str | Sequence[str], rows: int = 10
