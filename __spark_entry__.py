@@ -23,7 +23,7 @@ from oreline.plans import gold, pipeline, profiling, quality, reports, silver, v
 from oreline.schemas import GOLD_CONTRACT, LOAD_STAMP, SOURCES  # noqa: E402
 from oreline.session import at_end, run_folder, tune  # noqa: E402
 from oreline.sources.csv import read_csv, write_csv  # noqa: E402
-from oreline.sources.samples import EXTRACTS  # noqa: E402
+from oreline.sources.samples import EXTRACTS, HARD_EXTRACTS  # noqa: E402
 from oreline.sources.tables import Warehouse, stamped  # noqa: E402
 
 # The operators on training data are optional: everything else works without their folder
@@ -57,9 +57,10 @@ class _OnDemand(dict):
 class Layers:
     """The layers over one set of test tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, hard: tuple[str, ...] = ()) -> None:
         tune(spark)
-        self.bronze = _OnDemand({t: partial(b, spark, sf_dir) for t, b in EXTRACTS.items()})
+        extracts = {**EXTRACTS, **{table: HARD_EXTRACTS[table] for table in hard}}
+        self.bronze = _OnDemand({t: partial(b, spark, sf_dir) for t, b in extracts.items()})
         self.silver = _OnDemand(
             {t: partial(self._cleanse, t, b) for t, b in silver.silver_builders().items()}
         )
@@ -96,8 +97,9 @@ def _bronze_table(table: str, profile: Callable[[DataFrame], DataFrame]) -> Quer
     return lambda spark, sf_dir: profile(EXTRACTS[table](spark, sf_dir))
 
 
-def _layered(build: Callable[[Layers], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(Layers(spark, sf_dir))
+def _layered(build: Callable[[Layers], DataFrame], hard: tuple[str, ...] = ()) -> Query:
+    """A query over the layers; the extracts of the ``hard`` tables are those with awkward rows."""
+    return lambda spark, sf_dir: build(Layers(spark, sf_dir, hard))
 
 
 def _own_warehouse(spark: SparkSession) -> Warehouse:
@@ -174,6 +176,26 @@ def _load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reported.join(reduce(DataFrame.unionByName, counted), "table")
 
 
+def _reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a frame opened before a reload still reads, rows after the reload, and rows of a third load that was
+    complete when it was broken off, put in place by the next warehouse."""
+    layers, warehouse = Layers(spark, sf_dir), _own_warehouse(spark)
+    halves = {"erp_loc_a101": F.col("cntry") == "Germany", "erp_cust_az12": F.col("gen") == "Male"}
+    rows = []
+    for table, half in halves.items():
+        warehouse.load(layers.silver[table], "silver", table)
+        opened = warehouse.read("silver", table)
+        warehouse.load(opened.filter(half), "silver", table)
+        reloaded = warehouse.read("silver", table).count()
+        journal = warehouse.journal("silver", table)
+        version = journal.begin()
+        opened.write.format(warehouse.file_format).save(journal.location(version))
+        journal.commit(version, opened.count())
+        Warehouse(spark, warehouse.root, prefix=warehouse.prefix).recover()
+        rows.append((table, opened.count(), reloaded, warehouse.read("silver", table).count()))
+    return spark.createDataFrame(rows, "table string, open_rows long, reloaded_rows long, recovered_rows long")
+
+
 def _silver_load_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each loaded Silver table, its rows, rows without a load time, and different load times."""
     layers, warehouse = Layers(spark, sf_dir), _own_warehouse(spark)
@@ -301,6 +323,11 @@ def queries() -> dict[str, Query]:
         "dq_row_reconcile": _layered(lambda x: quality.row_reconcile(x.sales(), x.fact())),
         "dq_missing_keys": _layered(lambda x: quality.missing_keys(x.fact())),
         "dq_gold_amount": _layered(lambda x: quality.gold_amount(x.fact())),
+        "hard_silver_sales": _layered(Layers.sales, ("crm_sales_details",)),
+        "hard_silver_versions": _layered(lambda x: x.silver["crm_prd_info"], ("crm_prd_info",)),
+        "hard_dim_customers": _layered(Layers.customers, ("erp_cust_az12", "erp_loc_a101")),
+        "hard_gold_amount": _layered(lambda x: quality.gold_amount(x.fact()), ("crm_sales_details",)),
+        "reloaded_tables": _reloaded,
         "dq_report": _layered(lambda x: quality.quality_report(x.silver, x.fact())),
         "sales_by_country": _layered(_sales_by_country),
         "profile_report": _layered(lambda x: profiling.profile_all(x.bronze)),

@@ -153,10 +153,12 @@ _PARTS = (
 )
 
 
-def with_inputs(statement: str) -> str:
-    """Put the queries ``statement`` refers to, directly or not, in front of it."""
+def with_inputs(statement: str, extracts: dict[str, str] | None = None) -> str:
+    """Put the queries ``statement`` refers to, directly or not, in front of it; ``extracts`` replace the usual ones."""
     text, used = statement, []
+    changed = {f"b_{name}": sql for name, sql in (extracts or {}).items()}
     for name, sql in reversed(_PARTS):
+        sql = changed.get(name, sql)
         if name in text:
             used.append((name, sql))
             text += sql
@@ -330,6 +332,38 @@ select country, cast(sum(sales_amount) as decimal(38, 2)) as sales_amount
 from g_fact_sales f join g_dim_customers c on f.customer_key = c.customer_key
 where country is not null group by country
 """
+_N = "cast(substr(sls_ord_num, 3) as bigint) % 6"
+HARD_EXTRACTS = {
+    "crm_sales_details": f"""
+select * replace (case {_N} when 2 then '100.10' when 4 then '0.015' else sls_sales end as sls_sales,
+ case {_N} when 1 then '0' when 2 then '3' when 3 then '' when 4 then '3' else sls_quantity end as sls_quantity,
+ case {_N} when 1 then '' when 2 then '' when 4 then '0.005' else sls_price end as sls_price)
+from ({EXTRACTS["crm_sales_details"]})
+""",
+    "crm_prd_info": f"""
+select * replace (case cast(prd_id as bigint) % 7 when 1 then '' when 2 then '2011-07-01' else prd_start_dt end as prd_start_dt)
+from ({EXTRACTS["crm_prd_info"]})
+""",
+    "erp_cust_az12": f"""
+select * from ({EXTRACTS["erp_cust_az12"]})
+union all select cid, '1960-05-05', 'F' from ({EXTRACTS["erp_cust_az12"]}) where cid like '%5'
+union all select * from ({EXTRACTS["erp_cust_az12"]}) where cid like '%25'
+""",
+    "erp_loc_a101": f"""
+select * from ({EXTRACTS["erp_loc_a101"]})
+union all select cid, 'DE' from ({EXTRACTS["erp_loc_a101"]}) where cid like '%15'
+""",
+}
+HARD_CUSTOMERS = """
+select cast(row_number() over (order by customer_id, customer_number, first_name, last_name, country nulls last,
+  marital_status, gender, birthdate nulls last, create_date nulls last) as bigint) as customer_key, *
+from (select * exclude (customer_key) from g_dim_customers)
+"""
+RELOADED = "\nunion all ".join(
+    f"select '{name}' as \"table\", count(*) as open_rows, count(*) filter (where {half}) as reloaded_rows, "
+    f"count(*) as recovered_rows from s_{name}"
+    for name, half in (("erp_loc_a101", "cntry = 'Germany'"), ("erp_cust_az12", "gen = 'Male'"))
+)
 
 _PROFILES = {
     "crm_cust_info": _metrics(
@@ -478,6 +512,13 @@ from ({EXTRACTS["crm_cust_info"]})
     "dq_row_reconcile": with_inputs(RECONCILE),
     "dq_missing_keys": with_inputs(MISSING_KEYS),
     "dq_gold_amount": with_inputs(GOLD_AMOUNT),
+    "hard_silver_sales": with_inputs("select * from s_crm_sales_details", HARD_EXTRACTS),
+    "hard_silver_versions": with_inputs("select * from s_crm_prd_info", HARD_EXTRACTS),
+    "hard_dim_customers": with_inputs(HARD_CUSTOMERS, HARD_EXTRACTS),
+    "hard_gold_amount": with_inputs(
+        GOLD_AMOUNT, {"crm_sales_details": HARD_EXTRACTS["crm_sales_details"]}
+    ),
+    "reloaded_tables": with_inputs(RELOADED),
     "dq_report": with_inputs(QUALITY_REPORT),
     "sales_by_country": with_inputs(SALES_BY_COUNTRY),
     "preview_dim_customers": with_inputs(

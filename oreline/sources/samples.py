@@ -129,3 +129,45 @@ EXTRACTS = {
     "erp_loc_a101": erp_loc_a101,
     "erp_px_cat_g1v2": erp_px_cat_g1v2,
 }
+
+
+def hard_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with quantities of 0 and none, amounts that the quantity does not divide, and fractions of a cent."""
+    number = "cast(substr(sls_ord_num, 3) as bigint) % 6"
+    return crm_sales_details(spark, sf_dir).selectExpr(
+        "sls_ord_num", "sls_prd_key", "sls_cust_id", "sls_order_dt", "sls_ship_dt", "sls_due_dt",
+        f"case {number} when 2 then '100.10' when 4 then '0.015' else sls_sales end as sls_sales",
+        f"case {number} when 1 then '0' when 2 then '3' when 3 then '' when 4 then '3' else sls_quantity end"
+        " as sls_quantity",
+        f"case {number} when 1 then '' when 2 then '' when 4 then '0.005' else sls_price end as sls_price",
+    )
+
+
+def hard_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product versions of which some have no start date, or the start date of another version."""
+    return crm_prd_info(spark, sf_dir).selectExpr(
+        "prd_id", "prd_key", "prd_nm", "prd_cost", "prd_line",
+        "case cast(prd_id as bigint) % 7 when 1 then '' when 2 then '2011-07-01' else prd_start_dt end as prd_start_dt",
+        "prd_end_dt",
+    )
+
+
+def hard_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demographics in which some keys are repeated, with other values and as plain copies."""
+    people = erp_cust_az12(spark, sf_dir)
+    other = people.where("cid like '%5'").selectExpr("cid", "'1960-05-05' as bdate", "'F' as gen")
+    return people.unionByName(other).unionByName(people.where("cid like '%25'"))
+
+
+def hard_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations in which some keys are repeated."""
+    places = erp_loc_a101(spark, sf_dir)
+    return places.unionByName(places.where("cid like '%15'").selectExpr("cid", "'DE' as cntry"))
+
+
+HARD_EXTRACTS = {
+    "crm_sales_details": hard_sales,
+    "crm_prd_info": hard_versions,
+    "erp_cust_az12": hard_people,
+    "erp_loc_a101": hard_places,
+}
