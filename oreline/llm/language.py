@@ -4,12 +4,18 @@ A text is lower-cased and everything but letters becomes a blank. Its features a
 characters that hold a letter, blanks marking where words begin and end, hashed to ``BUCKETS``
 buckets. The text's vector is the average of its buckets' embeddings, the languages' scores
 are linear in it. Embeddings and weights are trained together by stochastic gradient descent in
-numpy on the driver, from the bucket counts of a bounded sample of labelled rows; a temperature
-and the level below which an answer is rejected are fitted on a part of the sample not trained on.
+numpy on the driver, from the bucket counts of a bounded sample of labelled rows; a temperature is fitted on a
+part of the sample not trained on.
+
+The softmax only says which of its languages a text is most like. Whether it is like it at all says its typicality: the mean
+log-frequency of its buckets in the language. Texts in a language stand close together; those of others, and of
+scripts never seen, far below. Each language's level lies between its own rows and those of all others, each of which is unknown to it
+as if it had been left out; short texts, whose mean is uncertain, have to fall further below.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +33,17 @@ GRAMS = (1, 2, 3, 4)
 PIECE = 1 << 18
 SAMPLE_A_LANGUAGE = 500  # labelled rows of a language used in training, the first by hash of the id
 SAMPLE = 20_000  # and of all languages
-LETTER_CODES = 0x32000  # no script has letters beyond
+LETTER_CODES = sys.maxunicode + 1
+RARE = 0.001  # part of a language's buckets that is spread over all of them
+LEAST_CHECKED = 5  # rows of a language not trained on, below which it has no level
+SPREAD = 6.0  # standard errors of a text's typicality that count in its favour
 
 _letters: list[np.ndarray] = []
 
 
 def _letter_table() -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(LETTER_CODES)] + [False]))
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(LETTER_CODES)), bool, LETTER_CODES))
     return _letters[0]
 
 
@@ -53,7 +62,7 @@ def bucket_counts(text: str | None) -> tuple[np.ndarray, int]:
         own = text[first:last].lower()
         first = last
         codes = np.frombuffer(own.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-        known = table[np.minimum(codes, LETTER_CODES)]
+        known = table[codes]
         letters += int(known.sum())
         codes = np.where(known, codes, 0)
         keep = known.copy()  # of a run of blanks one is enough
@@ -82,17 +91,30 @@ class Model:
     languages: list[str]
     table: np.ndarray  # buckets x languages: embeddings times weights
     bias: np.ndarray
+    logs: np.ndarray  # buckets x languages: log-frequencies
+    spread: np.ndarray  # of each language's log-frequencies
     temperature: float = 1.0
     reject_below: float = 0.0
+    levels: np.ndarray | None = None  # of each language, the least typicality
 
-    def scores(self, text: str | None) -> np.ndarray | None:
-        """Probabilities of the languages; None for a text without letters."""
+    def judge(self, text: str | None) -> tuple[int, float, bool]:
+        """The most probable language (-1 for a text without letters), its probability, and whether it is rejected."""
         counts, letters = bucket_counts(text)
         if not letters or not self.languages:
-            return None
+            return -1, 0.0, True
         used = np.flatnonzero(counts)
-        share = counts[used] / counts[used].sum()
-        return softmax((share @ self.table[used] + self.bias) / self.temperature)
+        total = counts[used].sum()
+        share = counts[used] / total
+        chances = softmax((share @ self.table[used] + self.bias) / self.temperature)
+        best = int(chances.argmax())
+        rejected = chances[best] < self.reject_below
+        if self.levels is not None:
+            rejected |= self.typicality(used, share, total)[best] < self.levels[best]
+        return best, float(chances[best]), bool(rejected)
+
+    def typicality(self, used: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
+        """Of a text in each language, with what its length leaves uncertain counted in its favour."""
+        return share @ self.logs[used] + SPREAD * self.spread / np.sqrt(total)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -175,21 +197,41 @@ def train(docs: DataFrame, epochs: int = 12, rate: float = 4.0, seed: int = 0) -
             weights -= step * 0.1 * np.outer(hidden, error)
             bias -= step * 0.01 * error
             embedding[used] -= step * np.outer(share, back)
-    model = Model(languages, (embedding @ weights).astype(np.float64), bias.astype(np.float64))
+    frequencies = np.zeros((BUCKETS, len(languages)))
+    for i in fit:
+        used, share, label = data[i]
+        frequencies[used, label] += share
+    frequencies /= np.maximum(frequencies.sum(axis=0), 1e-12)
+    logs = np.log((1 - RARE) * frequencies + RARE / BUCKETS)
+    means = (frequencies * logs).sum(axis=0)
+    spread = np.sqrt(np.maximum(0, (frequencies * logs**2).sum(axis=0) - means**2))
+    model = Model(languages, (embedding @ weights).astype(np.float64), bias.astype(np.float64), logs, spread)
     calibrate(model, [data[i] for i in check])
     return model
 
 
 def calibrate(model: Model, data: list, lost: float = 0.001) -> None:
-    """Set the temperature by likelihood, and the level below which at most ``lost`` of the rows fall.
+    """Set the temperature by likelihood, and the levels below which at most ``lost`` of the rows fall.
 
-    The level is at most 1.5 times a guess among the languages, so that a text of few words in a
-    known language is not taken for an unknown one.
+    The level of the probability is at most 1.5 times a guess among the languages, so that a text of few words in a
+    known language is not taken for an unknown one. A language's level of typicality is the middle between its own
+    rows and those of the other languages, but never above its own.
     """
-    if not data or len(model.languages) < 2:
+    if not data:
         return
-    logits = np.stack([share @ model.table[used] + model.bias for used, share, _ in data])
     labels = np.array([label for *_, label in data])
+    # The least share of a bucket is that of one occurrence.
+    typical = np.stack([model.typicality(used, share, 1 / share.min()) for used, share, _ in data])
+    model.levels = np.full(len(model.languages), -np.inf)
+    for number in range(len(model.languages)):
+        own, others = typical[labels == number, number], typical[labels != number, number]
+        if len(own) >= LEAST_CHECKED:
+            low = np.quantile(own, lost)
+            high = np.quantile(others, 0.99) if len(others) else low - 2
+            model.levels[number] = min(low - 2 * own.std() / np.sqrt(len(own)), (low + high) / 2)
+    if len(model.languages) < 2:
+        return
+    logits = np.stack([share @ model.table[used] + model.bias for used, share, _ in data])
     temperatures = np.geomspace(0.05, 20, 121)
 
     def loss(t: float) -> float:
@@ -207,7 +249,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ``docs`` has doc_id and text; only the text decides. ``score`` is the calibrated
     probability of the predicted language. A text that is null or has no letter is ``und`` with
     score 0, and rejected; so is every text if the model knows no language. Other texts have a language
-    of the model and are rejected if the score lies below ``model.reject_below``. Equal scores go to the
+    of the model and are rejected if the score lies below ``model.reject_below`` or the text is not typical of it. Equal scores go to the
     language first by name. Repeated rows and null ids are kept as they are (a null id counts as held
     out). Texts are read in pieces of ``PIECE`` characters, to the end.
     """
@@ -220,11 +262,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             names, scores, rejected = [], [], []
             for text in batch.column(2):
-                chances = known.scores(text.as_py())
-                best = -1 if chances is None else int(chances.argmax())
+                best, score, refused = known.judge(text.as_py())
                 names.append(UNKNOWN if best < 0 else known.languages[best])
-                scores.append(0.0 if best < 0 else float(chances[best]))
-                rejected.append(best < 0 or scores[-1] < known.reject_below)
+                scores.append(score)
+                rejected.append(refused)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -252,8 +293,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            chances = (known.scores(text.as_py()) for text in batch.column(at))
-            kept = [c is not None and c.max() >= known.reject_below for c in chances]
+            kept = [not known.judge(text.as_py())[2] for text in batch.column(at)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -25,6 +25,42 @@ def test_clean_documents_are_kept(spark):
     assert language.accepted(docs, model).count() >= 0.995 * docs.count()
 
 
+SCRIPTS = [
+    "今天天气很好，我们去公园散步吧。春天来了，花都开了。",
+    "今日はいい天気ですね。公園へ行きましょう。桜が咲いています。",
+    "сегодня хорошая погода, пойдем гулять в парк",
+    "الطقس جميل اليوم دعنا نذهب إلى الحديقة",
+    "ο καιρός είναι καλός σήμερα πάμε στο πάρκο",
+    "วันนี้อากาศดีเราไปเดินเล่นที่สวนสาธารณะกันเถอะ",
+    "xqzvk wqpzx kjvbq zxwvq pkqjz vvkxj qzzkw",
+    "\U00032010\U00032011\U00032012",
+]
+
+
+def test_scripts_never_seen_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    texts = [" ".join([text] * times) for text in SCRIPTS for times in (1, 3, 30)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = language.identify(frame, model).collect()
+    assert all(r.rejected and 0 <= r.score <= 1 for r in rows)
+    # letters of every plane are letters
+    assert all(r.lang_pred != "und" for r in rows)
+    assert language.accepted(frame, model).count() == 0
+
+
+def test_languages_left_out_are_rejected_and_known_ones_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    langs = sorted(r[0] for r in docs.select("lang").distinct().collect() if r[0])
+    assert len(langs) == 4
+    for left_out in langs:
+        known, unknown = docs.filter(docs.lang != left_out), docs.filter(docs.lang == left_out)
+        model = language.train(known)
+        rejected = 1 - language.accepted(unknown, model).count() / unknown.count()
+        kept = language.accepted(known, model).count() / known.count()
+        assert rejected >= 0.95 and kept >= 0.995, (left_out, rejected, kept)
+
+
 def test_odd_rows(spark):
     train = [(i, "das ist ein haus und", "de", "x") for i in range(40)]
     train += [(100 + i, "this is the house and", "en", None) for i in range(40)]
