@@ -54,3 +54,22 @@ def test_odd_rows_and_a_crowd_of_copies(spark, monkeypatch):
     check(sharding.shard(frame, 7).collect(), [d[:2] for d in docs], 7)
     check(sharding.shard(frame.limit(3), 7).collect(), [d[:2] for d in frame.limit(3).collect()], 7)
     assert sharding.shard(frame.filter("doc_id = -1"), 7).count() == 0
+
+
+def test_small_sources_and_rows_without_ids_are_spread(spark):
+    """Neither many sources of one row nor many equal rows without an id meet in one task."""
+    from pyspark.sql import functions as F
+
+    from oreline.llm.common import Scratch
+
+    frame = spark.range(4000).selectExpr("id as doc_id", "'t' || id as text", "'s' || id as source")
+    scratch = Scratch(spark, "test")
+    offsets = frame.select(F.floor(sharding._offset(F.col("source"), 0) * 20).alias("stretch"))
+    sizes = [r["count"] for r in offsets.groupBy("stretch").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 300
+    rows = sharding.shard(frame, 8).collect()
+    check(rows, [(i, f"t{i}") for i in range(4000)], 8)
+    alike = spark.range(20_000).selectExpr("cast(null as bigint) as doc_id", "'same' as text", "'a' as source")
+    cells = scratch.keep(sharding._keyed(alike, 0), "rows").groupBy("cell").count().collect()
+    assert len(cells) == sharding.ID_CELLS and max(r["count"] for r in cells) < 200
+    check(sharding.shard(alike, 8).collect(), [(None, "same")] * 20_000, 8)
