@@ -36,6 +36,7 @@ SAMPLE = 20_000  # and of all languages
 LETTER_CODES = sys.maxunicode + 1
 RARE = 0.001  # part of a language's buckets that is spread over all of them
 LEAST_CHECKED = 5  # rows of a language not trained on, below which it has no level
+BENEFIT = 0.15  # how far a level lies from other languages' rows on the way to its own
 SPREAD = 6.0  # standard errors of a text's typicality that count in its favour
 
 _letters: list[np.ndarray] = []
@@ -109,7 +110,7 @@ class Model:
         best = int(chances.argmax())
         rejected = chances[best] < self.reject_below
         if self.levels is not None:
-            rejected |= self.typicality(used, share, total)[best] < self.levels[best]
+            rejected |= (self.typicality(used, share, total) < self.levels).all()
         return best, float(chances[best]), bool(rejected)
 
     def typicality(self, used: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
@@ -214,8 +215,8 @@ def calibrate(model: Model, data: list, lost: float = 0.001) -> None:
     """Set the temperature by likelihood, and the levels below which at most ``lost`` of the rows fall.
 
     The level of the probability is at most 1.5 times a guess among the languages, so that a text of few words in a
-    known language is not taken for an unknown one. A language's level of typicality is the middle between its own
-    rows and those of the other languages, but never above its own.
+    known language is not taken for an unknown one. A language's level of typicality lies between its own rows and those of the
+    other languages, close to the latter, so that texts partly in another language stay, and never above its own.
     """
     if not data:
         return
@@ -228,7 +229,7 @@ def calibrate(model: Model, data: list, lost: float = 0.001) -> None:
         if len(own) >= LEAST_CHECKED:
             low = np.quantile(own, lost)
             high = np.quantile(others, 0.99) if len(others) else low - 2
-            model.levels[number] = min(low - 2 * own.std() / np.sqrt(len(own)), (low + high) / 2)
+            model.levels[number] = min(low - 2 * own.std() / np.sqrt(len(own)), high + BENEFIT * (low - high))
     if len(model.languages) < 2:
         return
     logits = np.stack([share @ model.table[used] + model.bias for used, share, _ in data])
@@ -249,7 +250,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ``docs`` has doc_id and text; only the text decides. ``score`` is the calibrated
     probability of the predicted language. A text that is null or has no letter is ``und`` with
     score 0, and rejected; so is every text if the model knows no language. Other texts have a language
-    of the model and are rejected if the score lies below ``model.reject_below`` or the text is not typical of it. Equal scores go to the
+    of the model and are rejected if the score lies below ``model.reject_below`` or the text is typical of no language. Equal scores go to the
     language first by name. Repeated rows and null ids are kept as they are (a null id counts as held
     out). Texts are read in pieces of ``PIECE`` characters, to the end.
     """
