@@ -237,10 +237,9 @@ def nearest(
     1), vec_id, score.
 
     ``vectors`` has vec_id and embedding (array of float or double). Candidates are all rows but the
-    query's own. Equal scores go to the smaller vec_id. Rows take no part whose id or vector is null,
-    whose vector is empty, zero or holds null or non-finite components, or has another length than most
-    vectors (of equally frequent lengths the larger counts). Rows that share a vec_id are one, with the
-    smallest of their vectors. Queries without candidates have no rows. The distinct vectors and the
+    query's own. Equal scores go to the smaller vec_id. Rows take no part whose id or vector is null, or
+    whose vector is empty, zero or holds null or non-finite components. Vectors shorter than the longest one go on with
+    zeros. Rows that share a vec_id are one, with the smallest of their vectors. Queries without candidates have no rows. The distinct vectors and the
     results of the blocks are written to the shared folder when this is called.
     """
     spark = vectors.sparkSession
@@ -249,12 +248,14 @@ def nearest(
     usable = vectors.select("vec_id", F.col("embedding").alias("vector")).filter(
         F.col("vec_id").isNotNull() & takes_part(F.col("vector"))
     )
-    lengths = usable.groupBy(F.size("vector").alias("n")).count()
-    common = lengths.orderBy(F.col("count").desc(), F.col("n").desc()).first()
+    width = usable.agg(F.max(F.size("vector"))).first()[0]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if common is None:
+    if width is None:
         return empty
-    rows = usable.filter(F.size("vector") == common["n"])
+    zero = F.lit(0).cast(usable.schema["vector"].dataType.elementType)
+    padded = F.concat("vector", F.array_repeat(zero, F.lit(width) - F.size("vector")))
+    padded = F.when(F.size("vector") == width, F.col("vector")).otherwise(padded)
+    rows = usable.select("vec_id", padded.alias("vector"))
     rows = scratch.keep(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "rows")
     # Of equal vectors only the k + 1 smallest ids can be among the k nearest of anything.
     place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
