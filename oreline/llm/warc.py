@@ -25,6 +25,7 @@ from oreline.llm.common import Scratch, ship_package
 # Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
 LINE, RECORD_END = "\r\n", "\r\n\r\n"
+HEAD_END = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -174,22 +175,30 @@ def write(captures: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z",
     )
 
 
-def _parse(data: bytes, path: str) -> dict | None:
-    """A record from its bytes behind the version line; None while it is not complete."""
-    head, end, rest = data.partition(b"\r\n\r\n")
-    if not end:
-        return None
+def _headers(head: bytes) -> dict[str, str]:
     headers = {}
     for line in head.split(b"\r\n"):
         name, _, value = line.partition(b":")
         headers.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace"))
+    return headers
+
+
+def _needed(data: bytes, path: str) -> int | None:
+    """How many bytes a record takes, read from its headers; None while they are not complete."""
+    head, end, _ = data.partition(HEAD_END)
+    if not end:
+        return None
     try:
-        length = int(headers["content-length"])
+        return len(head) + len(end) + int(_headers(head)["content-length"])
     except (KeyError, ValueError):
         raise ValueError(f"{path}: a WARC record without Content-Length") from None
-    if len(rest) < length:
-        return None
-    block, kind = rest[:length], headers.get("warc-type", "")
+
+
+def _parse(data: bytes, path: str, needed: int) -> dict:
+    """A record from its bytes behind the version line, of which it takes ``needed``."""
+    head, _, rest = data[:needed].partition(HEAD_END)
+    headers, block = _headers(head), rest
+    kind = headers.get("warc-type", "")
     row = {
         "file": path,
         "record_id": headers.get("warc-record-id"),
@@ -222,9 +231,11 @@ def _parse(data: bytes, path: str) -> dict | None:
 
 def _records(schema: pa.Schema):
     names = schema.names
+    mark = (VERSION + LINE).encode()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, open_parts, rows, held = None, [], [], 0
+        length, needed = 0, None  # bytes of the open parts, and of the record that they begin
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -243,11 +254,17 @@ def _records(schema: pa.Schema):
                     path, open_parts = file, []
                     if not piece:  # what stands before the first version line
                         continue
+                length = length + len(mark) + len(piece) if open_parts else len(piece)
+                if not open_parts:
+                    needed = None
                 open_parts.append(piece)
-                data = piece if len(open_parts) == 1 else (VERSION + LINE).encode().join(open_parts)
-                if (row := _parse(data, path)) is not None:
-                    rows.append(row)
-                    held += len(data)
+                if needed is None:
+                    if len(open_parts) > 1:  # the headers go on
+                        open_parts = [mark.join(open_parts)]
+                    needed = _needed(open_parts[0], path)
+                if needed is not None and length >= needed:
+                    rows.append(_parse(mark.join(open_parts), path, needed))
+                    held += length
                     open_parts = []
                 if held > 8 << 20:
                     yield out()

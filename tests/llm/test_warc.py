@@ -3,7 +3,9 @@
 import base64
 import gzip
 import hashlib
+import time
 
+import pyarrow as pa
 import pytest
 
 from oreline.llm import warc
@@ -102,3 +104,16 @@ def test_archives_of_others(spark, tmp_path):
         out.write(gzip.compress(parts[2][:-15]))
     with pytest.raises(Exception, match="cut off"):
         warc.read_records(spark, str(tmp_path)).collect()
+
+
+def test_pages_full_of_version_lines_are_read_in_linear_time():
+    kind = pa.schema([(n, pa.binary() if n == "payload" else pa.string()) for n in ("record_id", "payload")])
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"WARC/1.1\r\n" * 200_000
+    data = record("response", "<r>", block) + record("response", "<s>", b"HTTP/1.1 200 OK\r\n\r\nshort")
+    pieces = data.split(b"WARC/1.1\r\n")
+    batch = pa.record_batch([pa.array(["f"] * len(pieces)), pa.array(pieces)], names=["file_path", "piece"])
+    begun = time.process_time()
+    rows = [r for b in warc._records(kind)(iter([batch])) for r in b.to_pylist()]
+    assert time.process_time() - begun < 20
+    assert [r["record_id"] for r in rows] == ["<r>", "<s>"]
+    assert rows[0]["payload"] == b"WARC/1.1\r\n" * 200_000 and rows[1]["payload"] == b"short"
