@@ -10,12 +10,13 @@
    more in the latent space are candidates. Short passages are compared with short windows.
 4. A candidate's longest common subsequence with the passage decides: ``COPY`` of its words or more is a copy;
    from ``PARAPHRASE`` on it is a paraphrase if the answer occurs too: the rarest words of the passage's
-   last sentence, or of the whole passage where that sentence is short.
+   last sentence, or of the whole passage where that sentence is short. In passages of scripts without blanks
+   the words are characters, many of which any text shares, so only copies count.
 5. In addition, passages of up to ``SHORT_WORDS`` words are searched word by word, as they are too small a part of
    their windows for a cosine to tell: wherever their words stand one after another is a copy.
 
 Windows never leave their task; only partial sums are shuffled. What is broadcast is the projection (a fixed
-size) and the benchmark's words, whose number is checked.
+size) and the benchmark's words, whose bytes are counted first.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oreline.llm.common import ship_package
-from oreline.llm.tokens import mixed, words
+from oreline.llm.tokens import characters_alone, mixed, words
 
 VOCABULARY = 1 << 13  # hashed words of the latent space
 SKETCH, RANK, COMMON = 256, 96, 16
@@ -40,10 +41,11 @@ SHORT, LONG = 2, 4  # blocks of a window for passages of up to SHORT_WORDS words
 SHORT_WORDS = 24
 PIECE_WORDS = 56  # longer benchmark items are several passages
 LEAST_WORDS = 4  # shorter passages say nothing and are not searched
+LEAST_CHARACTERS = 8  # the same for passages of scripts without blanks, whose words are characters
 CANDIDATE = 0.3
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 ANSWER_WORDS = 5
-MOST_BENCHMARK_WORDS = 5_000_000
+MOST_BENCHMARK_BYTES = 40_000_000
 BLOCKS_AT_ONCE = 4096
 PASSAGES_AT_ONCE = 256
 CHUNK = 32  # rows of the sketch that are added up together
@@ -189,41 +191,45 @@ class Benchmark:
     items: list
     hashes: list[np.ndarray]
     answers: list[np.ndarray]
+    unspaced: list[bool]  # most words are characters
 
     def __post_init__(self) -> None:
         self.sizes = np.array([len(h) for h in self.hashes], np.int64)
+        self.least = np.where(self.unspaced, COPY, PARAPHRASE)  # share of words from which answers are looked at
 
     def latent(self, projection: np.ndarray) -> np.ndarray:
         out = np.stack([projection[_ids(h)].sum(axis=0) for h in self.hashes])
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
-
     def choose_answers(self, weights: np.ndarray) -> None:
         rarest = [np.argsort(-weights[_ids(a)], kind="stable")[:ANSWER_WORDS] for a in self.answers]
         self.answers = [a[r] for a, r in zip(self.answers, rarest, strict=True)]
 
 
 def read_benchmark(benchmark: DataFrame) -> Benchmark:
-    """The items of ``benchmark`` (item_id, text), cut into passages; their words are counted first.
+    """The items of ``benchmark`` (item_id, text), cut into passages; their bytes are counted first.
 
-    Items of more than ``PIECE_WORDS`` words are cut into pieces of about equal length; null texts
-    and pieces of fewer than ``LEAST_WORDS`` words are left out.
+    Items of more than ``PIECE_WORDS`` words are cut into pieces of about equal length; null texts and
+    pieces of fewer than ``LEAST_WORDS`` words, or ``LEAST_CHARACTERS`` characters of scripts without blanks,
+    are left out.
     """
-    rough = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    if rough > MOST_BENCHMARK_WORDS:
-        raise ValueError(f"the benchmark has {rough} words; search it in parts")
-    items, pieces, answers = [], [], []
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes of text; search it in parts")
+    items, pieces, answers, unspaced = [], [], [], []
     for item, text in sorted(map(tuple, benchmark.select("item_id", "text").collect()), key=repr):
         hashes = words(pa.array([text or ""]))[0]
         sentences = [s for s in re.split(r"(?<=[.?!])\s+|\n", text or "") if s.strip()]
         answer = words(pa.array(sentences[-1:], pa.string()))[0]
+        alone = 2 * characters_alone(text or "") > len(hashes)
         count = max(1, -(-len(hashes) // PIECE_WORDS))
         for piece in np.array_split(hashes, count):
-            if len(piece) >= LEAST_WORDS:
+            if len(piece) >= (LEAST_CHARACTERS if alone else LEAST_WORDS):
                 items.append(item)
+                unspaced.append(alone)
                 pieces.append(piece)
                 answers.append(np.unique(answer if len(np.unique(answer)) >= ANSWER_WORDS else piece))
-    return Benchmark(items, pieces, answers)
+    return Benchmark(items, pieces, answers, unspaced)
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -317,7 +323,7 @@ def _search(shared):
                     region = hashes[max(bounds[row], at - BLOCK) : min(bounds[row + 1], at + LONG * BLOCK + BLOCK)]
                     share = common_words(bench.hashes[passage], region) / size
                     answer = float(np.isin(bench.answers[passage], region).mean())
-                    if share >= COPY or (share >= PARAPHRASE and answer >= ANSWER):
+                    if share >= COPY or (share >= bench.least[passage] and answer >= ANSWER):
                         key = (row, bench.items[passage])
                         found = (share, answer, float(similarity), -int(at - bounds[row]))
                         best[key] = max(best.get(key, found), found)
@@ -373,13 +379,13 @@ def _candidates(ids, bounds, starts, doc, sums, blocks, latent, bench, own, mask
         for p, line in enumerate(close):
             near = np.flatnonzero(line >= CANDIDATE)
             hits = known[p][regions[region_at[first + near]]].sum(axis=1)
-            near = near[hits >= PARAPHRASE * bench.sizes[own[p]]]
+            near = near[hits >= bench.least[own[p]] * bench.sizes[own[p]]]
             some.append((np.full(len(near), p), near))
         p, near = (np.concatenate(x) for x in zip(*some, strict=True))
         for at in range(0, len(p), 1 << 15):
             q, n = p[at : at + (1 << 15)], near[at : at + (1 << 15)]
             length = _subsequences(regions[region_at[first + n]], q, masks)
-            enough = length >= PARAPHRASE * bench.sizes[own[q]]
+            enough = length >= bench.least[own[q]] * bench.sizes[own[q]]
             q, n = q[enough], n[enough]
             block = window_at[first + n]
             found.append((doc[block], own[q], starts[block], close[q, n]))

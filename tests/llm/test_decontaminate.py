@@ -161,3 +161,39 @@ def test_subsequences_at_once_equal_one_by_one():
     which = rng.integers(0, 3, 50)
     for row, p, length in zip(window, which, decontaminate._subsequences(window, which, masks), strict=True):
         assert decontaminate.common_words(passages[p], row) == length
+
+
+def test_scripts_without_blanks_and_typographic_quotes(spark):
+    rng = random.Random(8)
+    scripts = {
+        "zh": ([chr(0x4E00 + i) for i in range(3000)], "。", "，"),
+        "ja": ([chr(0x3041 + i) for i in range(80)] + [chr(0x5000 + i) for i in range(900)], "。", "、"),
+        "th": ([chr(0x0E01 + i) + m for i in range(46) for m in ("", "ิ", "้")], " ", " "),
+    }
+    write = lambda s, n: "".join(rng.choice(scripts[s][0]) + (scripts[s][2] if rng.random() < 0.06 else "") for _ in range(n))
+    items = [write(s, n) + scripts[s][1] for s in scripts for n in (9, 26, 55, 140)]
+    items.append('He said: "what is the name of that river in the north"?')
+    docs, planted, number = [], set(), 0
+    for s in scripts:
+        for _ in range(60):
+            docs.append((number, scripts[s][1].join(write(s, rng.randint(10, 60)) for _ in range(6))))
+            number += 1
+    for i, item in enumerate(items):
+        s = list(scripts)[min(i // 4, 2)]
+        for text in (write(s, 70) + scripts[s][1] + item + write(s, 70), item):
+            docs.append((number, text.replace(': "', ": “").replace('"?', "”?")))
+            planted.add((number, i))
+            number += 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert found == planted
+    kept = decontaminate.without_contamination(frame, bench)
+    assert {r.doc_id for r in kept.collect()} == set(range(180))
+
+
+def test_a_benchmark_is_bounded_by_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BENCHMARK_BYTES", 100)
+    bench = spark.createDataFrame([(1, "中" * 40)], "item_id long, text string")
+    with pytest.raises(ValueError, match="120 bytes"):
+        decontaminate.read_benchmark(bench)
