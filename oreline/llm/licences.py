@@ -172,6 +172,65 @@ def scan(docs: DataFrame, notices: DataFrame | None = None, threshold: float = T
     )
 
 
+def windows(docs: DataFrame, notices: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per text and licence stated anywhere in it: doc_id, licence, template, first_word, dice.
+
+    Texts are read across line breaks, so wrapped notices and those inside longer paragraphs are found. Each
+    template is compared with every stretch of as many word pairs as it has itself, which is where its size
+    bounds lead; pairs that a shorter text lacks count as not shared. Of a licence's stretches the most similar
+    is given, of equal ones that of the smaller template, then the earliest; ``first_word`` counts from 0.
+    ``docs``, ``notices`` and awkward rows are as for ``scan``.
+
+    Shared pairs are gathered by text, template and cell of the template's size: what begins in a cell
+    ends in the next one, so a group has at most twice the template's size, whatever the text's length. Groups
+    with too few shared pairs for the threshold are left before anything is compared.
+    """
+    spark = docs.sparkSession
+    notices = templates(spark) if notices is None else notices
+    cut = notices.select("template", "licence", _words(F.col("text")).alias("words")).filter(F.size("words") >= 2)
+    cut = cut.withColumn("size", F.size("words") - 1)
+    total = cut.agg(F.sum("size")).first()[0] or 0
+    if total > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"the templates have more than {MOST_TEMPLATE_WORDS} words")
+    bag = cut.select("template", "licence", "size", F.explode(_bigrams(F.col("words"))).alias("bigram"))
+    bag = bag.groupBy("template", "licence", "size", "bigram").agg(F.count("*").cast("int").alias("there"))
+
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("of"), _words(F.col("text")).alias("words"))
+    pairs = texts.filter(F.size("words") >= 2).select("doc_id", "of", F.posexplode(_bigrams(F.col("words"))).alias("at", "bigram"))
+    cell = F.floor(F.col("at") / F.col("size"))
+    hits = pairs.join(F.broadcast(bag), "bigram").select(
+        "doc_id", "of", "template", "licence", "size", F.struct("at", "bigram", "there").alias("hit"),
+        F.explode(F.array(cell, cell - 1)).alias("cell"),
+    )
+    groups = hits.groupBy("doc_id", "of", "template", "licence", "size", "cell").agg(F.collect_set("hit").alias("hits"))
+    enough = threshold * F.col("size") - 1e-9
+    groups = groups.filter(F.size("hits") >= enough).withColumn("hits", F.array_sort("hits"))
+
+    def place(h: Column) -> Column:
+        # A pair counts in the stretches that begin behind its ``there``-th earlier occurrence, if it has one.
+        same = F.filter("hits", lambda x: (x["bigram"] == h["bigram"]) & (x["at"] < h["at"]))
+        behind = F.when(F.size(same) >= h["there"], F.get(same, F.size(same) - h["there"])["at"]).otherwise(-1)
+        return F.struct(h["at"].alias("at"), behind.alias("behind"))
+
+    def common(p: Column) -> Column:
+        inside = F.filter("places", lambda x: (x["at"] >= p) & (x["at"] < p + F.col("size")) & (x["behind"] < p))
+        return F.struct(F.size(inside).alias("common"), (-p).alias("before"))
+
+    begins = F.filter("places", lambda x: F.floor(x["at"] / F.col("size")) == F.col("cell"))
+    placed = groups.withColumn("places", F.transform("hits", place)).drop("hits")
+    best = placed.withColumn("best", F.array_max(F.transform(begins, lambda x: common(x["at"]))))
+    dice = F.col("best.common") / F.col("size")
+    found = best.select(
+        "doc_id", "of", "licence", "template", (-F.col("best.before")).alias("first_word"), dice.alias("dice")
+    ).filter(F.col("dice") >= threshold)
+    first = F.min(F.struct((-F.col("dice")).alias("order"), "template", "first_word", "dice")).alias("first")
+    return (
+        found.groupBy("doc_id", "of", "licence")
+        .agg(first)
+        .select("doc_id", "licence", "first.template", "first.first_word", "first.dice")
+    )
+
+
 def _sql_templates() -> str:
     rows = ",\n    ".join(
         f"({i}, '{licence}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (licence, text) in enumerate(NOTICES)
@@ -205,3 +264,30 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, licence, CAST(template AS INTEGER)
 FROM s WHERE dice >= {THRESHOLD}
 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, template) = 1
 """
+
+ORACLE_WINDOWS = f"""
+WITH t AS (
+  SELECT template, licence, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w
+  FROM {_sql_templates()}),
+tb AS (
+  SELECT template, licence, b, len(w) - 1 AS size, count(*) AS n FROM (
+    SELECT template, licence, w, unnest(list_zip(w[:-2], w[2:])) AS b FROM t)
+  GROUP BY ALL),
+u AS (
+  SELECT doc_id, list_zip(w[:-2], w[2:]) AS pairs FROM (
+    SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)
+  WHERE len(w) > 1),
+h AS (
+  SELECT doc_id, template, licence, size, n, pos, b
+  FROM (SELECT doc_id, unnest(range(len(pairs))) AS pos, unnest(pairs) AS b FROM u) JOIN tb USING (b)),
+c AS (
+  SELECT p.doc_id, p.template, p.licence, p.size, p.pos, least(count(*), any_value(h.n)) AS common
+  FROM h p JOIN h ON p.doc_id = h.doc_id AND p.template = h.template AND h.pos BETWEEN p.pos AND p.pos + p.size - 1
+  GROUP BY p.doc_id, p.template, p.licence, p.size, p.pos, h.b),
+s AS (
+  SELECT doc_id, template, licence, pos, CAST(sum(common) AS DOUBLE) / size AS dice
+  FROM c GROUP BY doc_id, template, licence, size, pos)
+SELECT doc_id, licence, CAST(template AS INTEGER) AS template, CAST(pos AS INTEGER) AS first_word, dice
+FROM s WHERE dice >= {THRESHOLD}
+QUALIFY row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, template, pos) = 1
+"""

@@ -45,6 +45,10 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.windows(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.duplicates(table(spark, sf_dir, "documents"))
 
@@ -99,6 +103,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_licences": op2_licences,
+    "op2_licence_windows": op2_licence_windows,
     "op3_line_dedup": op3_line_dedup,
     "op3_line_classes": op3_line_classes,
     "op4_neighbours": op4_neighbours,
@@ -115,6 +120,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_licences": licences.ORACLE,
+    "op2_licence_windows": licences.ORACLE_WINDOWS,
     "op3_line_dedup": lines.ORACLE,
     "op5_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
