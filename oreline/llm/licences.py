@@ -119,8 +119,8 @@ def scan(docs: DataFrame, notices: DataFrame | None = None, threshold: float = T
         return spark.createDataFrame(
             [], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, licence string, template int, dice double"
         )
-    bag = cut.select("template", F.explode(_bigrams(F.col("words"))).alias("bigram"))
-    bag = bag.groupBy("template", "bigram").agg(F.count("*").alias("there"))
+    bag = cut.select("template", (F.size("words") - 1).alias("whole"), F.explode(_bigrams(F.col("words"))).alias("bigram"))
+    bag = bag.groupBy("template", "whole", "bigram").agg(F.count("*").alias("there"))
 
     # 2 * min(a, b) / (a + b) >= t  <=>  b * t / (2 - t) <= a <= b * (2 - t) / t
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -154,6 +154,7 @@ def scan(docs: DataFrame, notices: DataFrame | None = None, threshold: float = T
     counts = shared.groupBy("doc_id", "of", "line", "size", "bigram").agg(F.count("*").alias("here"))
     common = (
         counts.join(F.broadcast(bag), "bigram")
+        .filter(F.col("size").between(F.col("whole") * low - 1e-9, F.col("whole") * high + 1e-9))
         .groupBy("doc_id", "of", "line", "size", "template")
         .agg(F.sum(F.least("here", "there")).alias("common"))
     )
