@@ -86,6 +86,81 @@ def test_trie_against_plain_counts():
         assert got[1 + n : 1 + n + len(gates)].tolist() == gates
 
 
+def test_paths_without_a_document_are_those_of_smaller_counts():
+    words, m = made(5, 250)
+    code, bits = spelled(words, m)
+    order = sorted(range(len(words)), key=bits.__getitem__)
+    bits, n = [bits[i] for i in order], m[order]
+    d = np.maximum(n // 2, n > 0)  # words of one document, of documents with two tokens each
+    left = cm.left_of(n, d)
+    assert left[n == 1].tolist() == [0] * int((n == 1).sum()) and set(left[n == 500]) == {498}
+
+    def under(counts):
+        return [(counts.sum(), (counts > 0).sum())]
+
+    paths, lone = cm.walk(bits, n, under(n), left)
+    assert paths == cm.walk(bits, n, under(n))
+    for word in np.flatnonzero(n):
+        fewer = n.astype(float)
+        fewer[word] = left[word]
+        others = under(n)
+        others[0] = (others[0][0] - n[word] + left[word], others[0][1] - (left[word] == 0))
+        assert lone[word] == cm.walk(bits, fewer, others)[word]
+
+
+def test_every_training_document_is_learned_from(spark, monkeypatch):
+    """All are longer than a sample would take, and every word but two is in one document."""
+    rng = random.Random(6)
+    texts = [" ".join([f"w{i}x{rng.randrange(40_000)}" for _ in range(25_000)]) + f" all rare{i // 2}" for i in range(6)]
+    assert min(map(len, texts)) > 200_000
+    learned, weights = [], []
+    first, merged = cm.first_voices, cm.merged_weights
+    monkeypatch.setattr(cm, "first_voices", lambda at, tokens: (learned.append(int(tokens.sum())), first(at, tokens))[1])
+    monkeypatch.setattr(cm, "merged_weights", lambda sums: weights.append(merged(sums)) or weights[-1])
+    docs = spark.createDataFrame([*enumerate(texts), (90, "w3x7 all rare0")], "doc_id long, text string")
+    got = cm.score(docs, F.col("doc_id") == 90).collect()
+    total = sum(len(t.split()) + 1 for t in texts)
+    assert learned == [total] and {r.train_tokens for r in got} == {total}
+    assert not np.allclose(weights[0].mix, cm.fresh_weights().mix)
+    # Without its document a word is unknown, so the trie refuses it, however many tokens it has there.
+    assert {r.doc_id: r for r in got}[90].score < 0
+
+
+def test_blocks_add_up_to_the_weights_of_all_words():
+    words, n = made(7, 3000)
+    code, bits = spelled(words, n)
+    order = [i for i in sorted(range(len(words)), key=bits.__getitem__) if n[i]]
+    words, n = [words[i] for i in order], n[order]
+    d = np.maximum(n // 3, 1)
+    _, lone = cm.walk([bits[i] for i in order], n, [(n.sum(), len(n))], cm.left_of(n, d))
+    counts = np.zeros((cm.ORDERS, 1 << cm.SLOT_BITS, 2), np.float32)
+    own = cm.spelled(words, code)
+    for k in range(cm.ORDERS):
+        np.add.at(counts[k], (own.slots[k], own.bits), np.repeat(n, own.sizes))
+    whole, logs = cm.fit_block(words, n, d, lone, code, counts)
+    parts = []
+    for k in range(3):
+        some = range(k, len(words), 3)
+        parts.append(cm.fit_block([words[i] for i in some], n[k::3], d[k::3], [lone[i] for i in some], code, counts)[0])
+    one, three = cm.merged_weights(whole), cm.merged_weights(sum(parts))
+    tables = cm.order_tables(counts)
+    costs = [cm.prices(words, lone, code, tables, w) @ n for w in (cm.fresh_weights(), one, three)]
+    assert (costs[1] > costs[0]).all() and costs[2] == pytest.approx(costs[1], rel=0.01) and np.isfinite(logs).all()
+    seen = whole[-cm.GATES * cm.BUCKETS :]
+    assert np.allclose(seen.sum(), sum(p[-cm.GATES * cm.BUCKETS :].sum() for p in parts))
+    assert seen.sum() >= 2 * int(n @ own.sizes) * 0.5
+
+
+def test_first_voices_are_the_likeliest():
+    rng = np.random.default_rng(8)
+    share = np.array([0.5, 0.2, 0.15, 0.1, 0.05])
+    voices = np.full((60_000, cm.VOICES), -30.0)
+    voices[np.arange(60_000), rng.choice(cm.VOICES, 60_000, p=share)] = -1.0
+    tally = cm.tallied(voices, np.full(60_000, 2))
+    found = np.exp(cm.first_voices(np.flatnonzero(tally), tally[tally > 0]))
+    assert tally.sum() == 60_000 and np.allclose(found[2], share, atol=0.01) and np.allclose(found.sum(axis=1), 1)
+
+
 def test_alternatives_sum_to_one():
     rng = np.random.default_rng(0)
     inputs = rng.integers(-127, 128, (500, cm.PREDICTORS)).astype(np.int8)
