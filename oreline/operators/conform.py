@@ -14,11 +14,12 @@ def fitted(name: str, target: T.DataType) -> str:
     a value that the type cannot hold, raise an error, whatever the session's ANSI setting.
     """
     kind = target.simpleString()
-    lost = f"`{name}` IS NOT NULL AND TRY_CAST(`{name}` AS {kind}) IS NULL"
+    stop = f"raise_error(concat('{name} does not fit {kind}: ', CAST(`{name}` AS STRING)))"
+    # The cast stands once: branches of a CASE would each make it anew, and that of amounts is dear.
+    cast = f"coalesce(TRY_CAST(`{name}` AS {kind}), CASE WHEN `{name}` IS NOT NULL THEN {stop} END)"
     if isinstance(target, T.IntegralType):
-        lost += f" OR `{name}` <> floor(`{name}`)"
-    message = f"concat('{name} does not fit {kind}: ', CAST(`{name}` AS STRING))"
-    return f"CASE WHEN {lost} THEN raise_error({message}) ELSE TRY_CAST(`{name}` AS {kind}) END"
+        return f"CASE WHEN `{name}` <> floor(`{name}`) THEN {stop} ELSE {cast} END"
+    return cast
 
 
 def conform(df: DataFrame, contract: T.StructType) -> DataFrame:

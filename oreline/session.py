@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A join whose smaller side turns out to have at most so much in every partition needs no sorting of the larger one.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # Arithmetic that overflows stops instead of giving null.
     "spark.sql.ansi.enabled": "true",
 }

@@ -5,6 +5,7 @@ import pytest
 from helpers import frame_bag, normal
 from pyspark.sql import functions as F
 
+from oreline.operators import conform
 from oreline.plans import gold, pipeline, profiling, quality, reports, views
 from oreline.schemas import GOLD_CONTRACT, LOAD_STAMP, SOURCE_TABLES, SOURCES
 from oreline.sources.csv import write_csv
@@ -457,3 +458,22 @@ def test_only_keys_are_shuffled_for_the_rules(loaded):
     lookups = gold.broadcast_if_small(silver["crm_cust_info"], silver["erp_px_cat_g1v2"], limit=40_000)
     hinted = ["ResolvedHint" in df._jdf.queryExecution().analyzed().toString() for df in lookups]
     assert hinted == [False, True]
+
+
+def test_live_fact_sorts_no_order_lines_and_casts_amounts_once(spark, sf_dir, tmp_path):
+    import __spark_entry__ as entry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = entry.queries()["live_fact_sales"](spark, sf_dir)
+        rows = fact.collect()
+        plan = fact._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    top = [line for line in plan.splitlines() if "Join" in line][:2]
+    assert len(top) == 2 and all("ShuffledHashJoin" in line for line in top)
+    whole = entry.queries()["gold_fact_sales"](spark, sf_dir)
+    assert frame_bag(whole) == frame_bag(spark.createDataFrame(rows, fact.schema))
+    for field in GOLD_CONTRACT["fact_sales"]:
+        assert conform.fitted(field.name, field.dataType).count("TRY_CAST") == 1
