@@ -2,10 +2,12 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,31 @@ def test_paths_without_a_document_are_those_of_smaller_counts():
         assert lone[word] == cm.walk(bits, fewer, others)[word]
 
 
+def test_words_are_spelled_and_sent_in_parts():
+    """What a task holds besides the words does not grow with all their bits, and no batch holds them all."""
+    rng = np.random.default_rng(9)
+    words = sorted({bytes(w) for w in rng.integers(97, 123, (100_000, 9)).astype(np.uint8)})
+    code, bits = spelled(words, np.ones(len(words), np.int64))
+    half = len(words) // 2
+    parts = [words[: half + 5], words[half - 5 :]]
+    sent = pa.table({
+        "bucket": [3, 3], "chunk": [0, 1], "words": [cm._join(own) for own in parts],
+        "n": [cm._packed(np.full(len(own), 2), "<i8") for own in parts], "d": [cm._packed(np.ones(len(own)), "<i8") for own in parts],
+    })
+    tracemalloc.start()
+    merged = cm._merged(code)((pa.scalar(3),), sent)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 60e6
+    assert max(b.num_rows for b in merged.to_batches()) <= 1 << 16
+    assert merged["word"].to_pylist() == words and merged["bits"].to_pylist() == bits
+    assert set(merged["bucket"].to_pylist()) == {3}
+    assert Counter(merged["n"].to_pylist()) == {2: len(words) - 10, 4: 10} and sum(merged["d"].to_pylist()) == len(words) + 10
+    found = list(cm._order_counts(code)(iter(merged.select(["word", "n"]).to_batches())))
+    assert max(b.num_rows for b in found) <= 1 << 16
+    assert sum(sum(b["both"].to_pylist()) for b in found) == cm.ORDERS * sum(n * len(b) for n, b in zip(merged["n"].to_pylist(), bits, strict=True))
+
+
 def test_every_training_document_is_learned_from(spark, monkeypatch):
     """All are longer than a sample would take, and every word but two is in one document."""
     rng = random.Random(6)
