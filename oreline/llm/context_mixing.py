@@ -160,7 +160,7 @@ def _odds(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 def _packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
     """Numbers byte by byte, all first bytes first, compressed."""
     width = np.dtype(kind).itemsize
-    return zlib.compress(numbers.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+    return zlib.compress(numbers.astype(kind, copy=False).view(np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
 def _unpacked(data: bytes | pa.Buffer, kind: str = "<u4") -> np.ndarray:
@@ -196,14 +196,17 @@ def _chunks(kind: pa.DataType, size: int):
                 at = spots[: len(own)]
                 last[own] = at
                 d[own[last[own] == at]] += 1  # each word once
-        letters = np.bincount(
-            np.frombuffer(b"".join(words), np.uint8), np.repeat(n, list(map(len, words))), SYMBOLS
-        ).astype(np.int64)
+        letters = np.zeros(SYMBOLS, np.int64)
+        for first in range(0, len(words), ROWS_AT_ONCE):
+            some = words[first : first + ROWS_AT_ONCE]
+            times = np.repeat(n[first : first + len(some)], list(map(len, some)))
+            letters += np.bincount(np.frombuffer(b"".join(some), np.uint8), times, SYMBOLS).astype(np.int64)
         letters[STOP] = n.sum()
         # Frequent words get small numbers, which pack well; the vocabulary is listed by classes.
         by_count = np.argsort(-every, kind="stable")
         number_of = np.empty(len(words), np.uint32)
         number_of[by_count] = np.arange(len(words))
+        tokens = number_of[tokens]
         classes = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) >> (32 - CLASS_BITS)
         order = np.argsort(classes, kind="stable")
         cells = {
@@ -212,7 +215,7 @@ def _chunks(kind: pa.DataType, size: int):
             "held": pa.array([list(held)], pa.list_(pa.bool_())),
             "sizes": pa.array([sizes], pa.list_(pa.int64())),
             "bytes": pa.array([list(widths)], pa.list_(pa.int64())),
-            "tokens": pa.array([_packed(number_of[tokens])], pa.binary()),
+            "tokens": pa.array([_packed(tokens)], pa.binary()),
             "numbers": pa.array([_packed(number_of[order])], pa.binary()),
             "classes": pa.array([_packed(classes[order])], pa.binary()),
             "words": pa.array([_join([words[i] for i in order])], pa.binary()),
@@ -1088,7 +1091,7 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     )
     hear = _hear(tokens + 0.1 * different)
     heard = whole.cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(hear, shape)
-    heard = scratch.keep(heard, "heard")
+    heard = scratch.keep(heard, "heard", maxRecordsPerFile=1)  # large rows, which else would be read together
     scratch.drop("chunks", "paths")
     tally = heard.select(F.explode("tally").alias("x")).groupBy("x.at").agg(F.sum("x.tokens").alias("tokens"))
     tally = tally.toArrow()  # a row for each state and levels of the voices, at most
